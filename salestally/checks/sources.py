@@ -1,0 +1,181 @@
+"""Exports written as files, read back, compared, and compared as they arrive."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from salestally import fixed_values as fv
+from salestally.checks import cells as cx
+from salestally.checks.base import P, YEAR, check, with_fact
+from salestally.checks.matching import SHEETS, rows_sql, sheet_rows
+from salestally.model import bind_folder
+from salestally.plans import comparisons, sinks
+from salestally.session import cut, scratch
+from salestally.sources import exports
+from salestally.sources.registry import default_registry
+from salestally.streaming import arrivals
+
+FILES = ["Sales Summary_Top Stores by Sal", "Sales Summary_Store Sales with",
+         "Sales Summary_Weekly Trends", "Sales Summary_Weekday Weekend",
+         "Sales Summary_Top Performing Em"]
+
+
+def write_sheets(spark, folder, names=FILES, p=P):
+    """Write sheets as CSV, one folder of part files each, and return their place."""
+    place = scratch(spark, "exports")
+    pinned = bind_folder(spark, folder).pinned(P)
+    for name in names:
+        rows = sheet_rows(pinned, name).drop("sheet", "row_ord")
+        rows.write.option("header", True).csv(os.path.join(place, f"{name}.csv"))
+    return place
+
+
+_CELLS = cx.sheet_cells_sql({s: SHEETS[s][0] for s in FILES})
+
+
+@check("sheets_read", with_fact(_CELLS))
+def _(spark, folder):
+    """Five sheets of five layouts, written as CSV and read as cells."""
+    cells = exports.read_cells(spark, write_sheets(spark, folder), fv.EXPORT_FILE_PATTERN)
+    return cells.select("sheet", "identifier", "metric", F.col("value_raw").alias("value"))
+
+
+@check("sheets_read_week_metric", with_fact(
+    f"""SELECT 'Sales Summary_Weeks' AS sheet, identifier, metric, CASE WHEN identifier = 'Week3' THEN '0' ELSE value END AS value
+FROM ({cx.query_cells_sql('SP_WeekwiseSalesComparison')})"""))
+def _(spark, folder):
+    """Week, Metric, Value; empty values read as 0."""
+    place = scratch(spark, "exports")
+    rows = sheet_rows(bind_folder(spark, folder), "Sales Summary_Weekwise Sales")
+    long = rows.unpivot(["Identifier"], ["Current Year", "Previous Year"], "Metric", "Value").select(
+        F.col("Identifier").alias("Week"), "Metric",
+        F.when(F.col("Identifier") != "Week3", F.col("Value")).alias("Value"))
+    long.write.option("header", True).csv(os.path.join(place, "Sales Summary_Weeks.csv"))
+    cells = exports.read_cells(spark, place, null_as_zero=True)
+    return cells.select("sheet", "identifier", "metric", F.col("value_raw").alias("value"))
+
+
+@check("sheet_shapes_read", with_fact("\nUNION ALL ".join(
+    f"SELECT '{s}' AS sheet, '{', '.join(SHEETS[s][1]).lower()}' AS headers, count(*) AS data_volume "
+    f"FROM ({rows_sql(s)})" for s in FILES)))
+def _(spark, folder):
+    shapes = exports.sheet_shapes(spark, write_sheets(spark, folder))
+    return shapes.select("sheet", F.array_join("headers", ", ").alias("headers"), "data_volume")
+
+
+@check("kpi_list_read", f"""SELECT 'Orders by ' || o_orderpriority AS kpi_name, CAST(count(*) AS VARCHAR) AS value_raw
+FROM orders WHERE year(o_orderdate) = {YEAR} GROUP BY 1""")
+def _(spark, folder):
+    """KPI names and values with blanks around them, read and trimmed."""
+    place = scratch(spark, "kpi-list")
+    counts = bind_folder(spark, folder)._orders(P, False).groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
+    counts.select(
+        F.concat(F.lit(" Orders by "), "channel", F.lit(" ")).alias("KPI Name"),
+        F.concat(F.lit(" "), F.col("n").cast("string")).alias("Value"),
+    ).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(place)
+    return exports.read_kpis(spark, place).select("kpi_name", "value_raw")
+
+
+def _many_files(spark, folder):
+    """Sheets of stores by state, KPI files among them and one empty file."""
+    place = scratch(spark, "files")
+    stores = bind_folder(spark, folder).stores
+    for i, name in enumerate(["Sales Summary_A", "Sales Summary_B", "Sales Summary_KPI", "Other"]):
+        stores.filter(F.col("state_key") % 4 == i).select("store", "area").coalesce(1).write.option(
+            "header", True).csv(os.path.join(place, f"{name}.csv"))
+    return place
+
+
+@check("files_selected", """SELECT 'Sales Summary_A' AS sheet UNION ALL SELECT 'Sales Summary_B' UNION ALL SELECT 'Sales Summary_KPI'""")
+def _(spark, folder):
+    """Files whose names fit the pattern and that are not empty."""
+    return exports.export_files(spark, _many_files(spark, folder)).select("sheet").distinct()
+
+
+@check("file_newest", "SELECT 'Sales Summary_KPI' AS sheet")
+def _(spark, folder):
+    return exports.newest(exports.export_files(spark, _many_files(spark, folder))).select("sheet")
+
+
+@check("files_new", "SELECT 'Sales Summary_B' AS sheet")
+def _(spark, folder):
+    """Files since an earlier listing, without the KPI file."""
+    files = exports.export_files(spark, _many_files(spark, folder))
+    return exports.new_files(files, files.filter("sheet = 'Sales Summary_A'")).select("sheet").distinct()
+
+
+@check("files_tagged", """SELECT CASE s_nationkey % 4 WHEN 0 THEN 'Sales Summary_A' WHEN 1 THEN 'Sales Summary_B'
+  WHEN 2 THEN 'Sales Summary_KPI' ELSE 'Other' END AS sheet, s_name AS store FROM supplier""")
+def _(spark, folder):
+    return exports.read_tagged(spark, _many_files(spark, folder)).select("sheet", "store")
+
+
+@check("files_combined", """SELECT sheet, count(*) AS n, count(s) AS stores, count(b) AS brands FROM (
+  SELECT 'Stores' AS sheet, s_name AS s, NULL AS b FROM supplier UNION ALL SELECT 'Products', NULL, p_brand FROM part) GROUP BY 1""")
+def _(spark, folder):
+    """Two files with different columns as one table, in folders by file."""
+    m, path = bind_folder(spark, folder), scratch(spark, "combined")
+    sinks.combine_files({"Stores": m.stores.select("store"), "Products": m.products.select("brand")}, path)
+    return spark.read.parquet(path).groupBy("sheet").agg(
+        F.count(F.lit(1)).alias("n"), F.count("store").alias("stores"), F.count("brand").alias("brands"))
+
+
+@check("folder_compared", with_fact(
+    f"SELECT sheet, metric, 'Match' AS status, count(*) AS n FROM ({_CELLS}) "
+    "WHERE sheet NOT IN ('Sales Summary_Top Performing Em', 'Sales Summary_Weekday Weekend') GROUP BY 1, 2\n"
+    f"UNION ALL SELECT 'Sales Summary_Top Performing Em', 'Actual Sales', 'Not Found', count(*) FROM ({rows_sql('Sales Summary_Top Performing Em')})"))
+def _(spark, folder):
+    """A folder of sheets matched by profile; the staff sheet goes to the wrong query by a tie."""
+    method, reports = comparisons.compare_folder(
+        spark, write_sheets(spark, folder), "All", "Everything", default_registry(),
+        bind_folder(spark, folder), P)
+    out = None
+    for layout, wide in reports.items():
+        metrics = comparisons.WIDE_LAYOUTS[layout]
+        long = wide.select("sheet", *[F.col(f"`{x} Status`").alias(x) for x in metrics]).unpivot(
+            ["sheet"], metrics, "metric", "status")
+        out = long if out is None else out.unionByName(long)
+    return out.groupBy("sheet", "metric", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- arrivals ----------------------------------------------------------------------------
+
+STAFF = cx.entity_sql("staff")
+
+
+@check("arrivals_reconciled", with_fact(cx.long_sql("staff"), *STAFF))
+def _(spark, folder):
+    """Exports that arrive in two drops, each compared once; together they equal one batch."""
+    from salestally.operators.reshape import sheet_cells
+
+    m = bind_folder(spark, folder)
+    drop, out, log = (scratch(spark, n) for n in ("drop", "arrived", "arrivals"))
+    db = cut(cx.entity_db(m, P, "staff"), "db-cells")
+    export = cut(sheet_cells(cx.entity_export(m, P, "staff"), "entity"), "export")
+    for half in (0, 1):
+        export.filter(F.col("row_ord") % 2 == half).write.mode("append").parquet(drop)
+        arrivals.reconcile_arrivals(
+            arrivals.stream_cells(spark, drop), db, out, log
+        ).awaitTermination()
+    return arrivals.read_arrivals(spark, out).drop("batch")
+
+
+@check("arrivals_summed", with_fact(
+    f"""SELECT sheet, sum(CAST(1 AS BIGINT))::BIGINT AS total, count(*) FILTER (WHERE status = 'Match') AS matches
+FROM ({cx.long_sql('staff')}) GROUP BY 1""", *STAFF))
+def _(spark, folder):
+    """Counts per batch of sheet files, added up."""
+    m = bind_folder(spark, folder)
+    drop, out = scratch(spark, "drop"), scratch(spark, "arrived")
+    db = cut(cx.entity_db(m, P, "staff"), "db-cells")
+    export = cx.entity_export(m, P, "staff")
+    export.select("Identifier", "Actual Sales").write.option("header", True).csv(
+        os.path.join(drop, f"{cx.STAFF_SHEET}.csv"))
+    arrivals.reconcile_arrivals(arrivals.stream_sheets(spark, drop), db, out).awaitTermination()
+    return arrivals.read_arrivals(spark, out, "summary").groupBy("sheet").agg(
+        F.sum("total").alias("total"), F.sum("matches").alias("matches"))
+
+

@@ -25,19 +25,18 @@ def header_tags(headers: Column) -> Column:
     return F.when(F.size(tags) == 0, F.array(F.lit(fv.NO_TAG))).otherwise(tags)
 
 
+def _places(headers: Column, test) -> Column:
+    found = F.transform(headers, lambda h, i: F.when(test(h), i))
+    return F.filter(found, lambda i: i.isNotNull())
+
+
 def _last(headers: Column, test) -> Column:
     """Position of the last header that passes, null if none does."""
-    places = F.filter(
-        F.transform(headers, lambda h, i: F.when(test(h), i)), lambda i: i.isNotNull()
-    )
-    return F.when(F.size(places) > 0, F.element_at(places, -1))
+    return F.try_element_at(_places(headers, test), F.lit(-1))
 
 
 def _first(headers: Column, test) -> Column:
-    places = F.filter(
-        F.transform(headers, lambda h, i: F.when(test(h), i)), lambda i: i.isNotNull()
-    )
-    return F.when(F.size(places) > 0, F.element_at(places, 1))
+    return F.try_element_at(_places(headers, test), F.lit(1))
 
 
 def key_columns(headers: Column) -> Column:

@@ -6,6 +6,7 @@ single time on them, and hands written query results to the comparison.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from datetime import date
 
@@ -21,8 +22,11 @@ from salestally.operators.match import match_sheets
 from salestally.operators.reshape import ACTUAL, CURRENT, PREVIOUS, TARGET
 from salestally.params import Params
 from salestally.session import cut
+from salestally.sources import exports
 from salestally.sources.registry import Registry, kpi_values, probe
 
+log = logging.getLogger("salestally")
+
 WIDE_LAYOUTS = {
     "target": [ACTUAL, TARGET],
     "year": [PREVIOUS, CURRENT],
@@ -101,6 +105,8 @@ def compare_mapped(wide: dict[str, DataFrame], sheets: DataFrame, registry: Regi
     wide: layout -> export rows in columns. Returns a wide report per layout,
     or None when no sheet finds a query.
     """
+    if sheets.isEmpty():
+        return None
     pinned = model.pinned(p)
     cells = mapped_cells(map_sheets(sheets, registry, pinned, p, **match))
     if cells is None:
@@ -126,6 +132,7 @@ def landing_values(registry: Registry, model: SalesModel, p: Params,
         try:
             parts.append(reshape.landing_cells(registry.call(query, model, p), sheet.strip()))
         except Exception:  # one bad query must not end the run
+            log.warning("query %s failed", query, exc_info=True)
             parts.append(model.spark.range(1).select(
                 F.lit(sheet.strip()).alias("sheet"), F.lit(None).cast("string").alias("identifier"),
                 F.lit(ACTUAL).alias("metric"), F.lit("Error").alias("value"),
@@ -145,13 +152,19 @@ def compare_landing(export: DataFrame, registry: Registry, model: SalesModel, p:
     return reconcile.reconcile_long(keyed, cut(db, "db-cells"))
 
 
+def _mapped_or_none(*args) -> dict[str, DataFrame] | None:
+    """Comparison by profile; a failure is logged and leaves the fixed queries to answer."""
+    try:
+        return compare_mapped(*args)
+    except Exception:
+        log.warning("comparison by profile failed, fixed queries are used", exc_info=True)
+        return None
+
+
 def compare_landing_any(export: DataFrame, wide: dict[str, DataFrame], sheets: DataFrame,
                         registry: Registry, model: SalesModel, p: Params):
     """By profile; when that finds nothing or fails, by the fixed table: (method, result)."""
-    try:
-        found = compare_mapped(wide, sheets, registry, model, p)
-    except Exception:
-        found = None
+    found = _mapped_or_none(wide, sheets, registry, model, p)
     if found is not None:
         return "dynamic_engine", found
     return "legacy", compare_landing(export, registry, model, p)
@@ -206,7 +219,7 @@ def bundle_cells(registry: Registry, model: SalesModel, p: Params, queries: list
         try:
             parts.append(reshape.drill_cells(registry.call(query, model, p), query))
         except Exception:  # a missing query leaves its sheet without values
-            continue
+            log.warning("query %s failed", query, exc_info=True)
     short = [part.withColumn("sheet", sheet_title("sheet")) for part in parts]
     return reconcile.override_union(short)
 
@@ -230,10 +243,7 @@ def compare_drill_through(export: DataFrame, wide: dict[str, DataFrame], sheets:
     p = p or drill.target_params(title, target, stores)
     if p.store is not None:
         return "bundle", compare_bundle(export, registry, model, p, fv.STORE_BUNDLE)
-    try:
-        found = compare_mapped(wide, sheets, registry, model, p)
-    except Exception:
-        found = None
+    found = _mapped_or_none(wide, sheets, registry, model, p)
     if found is not None:
         return "dynamic_engine", found
     return "legacy", compare_bundle(export, registry, model, p, fv.DRILL_BUNDLE)
@@ -243,11 +253,10 @@ def compare_folder(spark, folder: str, title: str, target: str, registry: Regist
                    model: SalesModel, p: Params | None = None, pattern: str | None = None,
                    stores: dict[str, str] | None = None):
     """Compare the sheet files of a folder as one drill-through."""
-    from salestally.sources.exports import read_cells, read_sheets, sheet_shapes
-
-    cells = read_cells(spark, folder, pattern)
-    shapes = sheet_shapes(spark, folder, pattern)
-    wide = wide_layouts(read_sheets(spark, folder, pattern))
+    sheets = exports.read_sheets(spark, folder, pattern)
+    cells = exports.cells_of(spark, sheets)
+    shapes = exports.shapes_of_all(sheets)
+    wide = wide_layouts(sheets)
     return compare_drill_through(cells, wide, shapes, title, target, registry, model, p, stores)
 
 

@@ -1,6 +1,7 @@
 """Exported sheets and KPI lists: a folder of CSV or Parquet files.
 
-One file is one sheet; the sheet's name is the file's name without suffix.
+A sheet is a file, or a folder of part files as Spark writes them; its name
+is the name of the file or folder without suffix.
 """
 
 from __future__ import annotations
@@ -22,40 +23,55 @@ KPI_SCHEMA = "kpi_name string, value_raw string"
 CELL_SCHEMA = "sheet string, row_ord bigint, identifier string, metric string, value_raw string"
 
 
-def file_stem(name: Column | None = None) -> Column:
-    """File name without suffix; the metadata column is percent-encoded."""
-    name = F.col("_metadata.file_name") if name is None else name
-    return F.url_decode(F.regexp_replace(name, r"\.[^.]*$", ""))
+def decoded(path: Column) -> Column:
+    """Path as it is on disk; the metadata columns are percent-encoded."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def sheet_of(path: Column) -> Column:
+    """Sheet a file belongs to: its folder where that is named like a file, else itself."""
+    parts = F.split(path, "/")
+    folder, name = F.try_element_at(parts, F.lit(-2)), F.element_at(parts, -1)
+    own = F.when(folder.rlike(r"\.(csv|parquet|json|orc)$"), folder).otherwise(name)
+    return F.regexp_replace(own, r"\.[^.]*$", "")
+
+
+def file_sheet() -> Column:
+    """The sheet of the file a row was read from."""
+    return sheet_of(decoded(F.col("_metadata.file_path")))
+
+
+def inside(folder: str, pattern: str | None = None) -> str:
+    """Files or folders of a folder whose names fit a pattern."""
+    return os.path.join(folder, pattern or "*")
 
 
 # --- which files ------------------------------------------------------------------
 
 
 def export_files(spark: SparkSession, folder: str, pattern: str = fv.EXPORT_FILE_PATTERN) -> DataFrame:
-    """Non-empty files of a folder whose name fits the pattern: path, name, size, time.
+    """Non-empty files whose sheet fits the pattern: path, sheet, size, modified.
 
     Only listings are read: the content column is pruned from the scan.
     """
     return (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-        .select("path", F.element_at(F.split("path", "/"), -1).alias("name"),
+        spark.read.format("binaryFile").load(inside(folder, pattern))
+        .select("path", sheet_of(F.col("path")).alias("sheet"),
                 F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
         .filter("size > 0")
     )
 
 
 def newest(files: DataFrame) -> DataFrame:
-    """The file modified last, by name where times are equal."""
-    return files.agg(
-        F.max_by("path", F.struct("modified", "name")).alias("path"),
-        F.max("modified").alias("modified"),
-    )
+    """The file modified last, by path where times are equal."""
+    last = F.struct("modified", "path")
+    return files.agg(*[F.max_by(c, last).alias(c) for c in ("path", "sheet", "modified")])
 
 
 def new_files(files: DataFrame, seen: DataFrame, skip_word: str = fv.KPI_FILE_WORD) -> DataFrame:
     """Files not in an earlier listing, without those named after KPIs."""
     fresh = files.join(seen.select("path"), "path", "left_anti")
-    return fresh.filter(~F.lower("name").contains(skip_word))
+    return fresh.filter(~F.lower("sheet").contains(skip_word))
 
 
 # --- sheets ------------------------------------------------------------------------
@@ -67,10 +83,7 @@ def first_lines(spark: SparkSession, folder: str, pattern: str | None = None) ->
     The first split of a file holds its first line; within a split lines come
     in order, so the smallest running id of that split is the header.
     """
-    reader = spark.read
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    lines = reader.text(folder).select(
+    lines = spark.read.text(inside(folder, pattern)).select(
         "value", F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("i"),
@@ -97,7 +110,7 @@ def _read_group(spark: SparkSession, header: tuple, paths: list[str]) -> DataFra
     plain = [urllib.parse.unquote(p) for p in paths]
     return (
         spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(plain)
-        .withColumn("sheet", file_stem())
+        .withColumn("sheet", file_sheet())
         .withColumn("row_ord", F.monotonically_increasing_id())
     )
 
@@ -111,34 +124,34 @@ def read_sheets(spark: SparkSession, folder: str, pattern: str | None = None) ->
     return {h: _read_group(spark, h, paths) for h, paths in sorted(groups.items())}
 
 
-def read_cells(spark: SparkSession, folder: str, pattern: str | None = None,
-               null_as_zero: bool = False) -> DataFrame:
-    """Cells of all sheets of known layouts in a folder."""
+def cells_of(spark: SparkSession, sheets: dict[tuple, DataFrame],
+             null_as_zero: bool = False) -> DataFrame:
+    """Cells of the sheets whose layout is known."""
     parts = []
-    for header, df in read_sheets(spark, folder, pattern).items():
+    for header, df in sheets.items():
         layout = layout_of(list(header))
         if layout:
             parts.append(sheet_cells(df, layout, null_as_zero))
-    if not parts:
-        return spark.createDataFrame([], CELL_SCHEMA)
-    return union_all(parts)
+    return union_all(parts) if parts else spark.createDataFrame([], CELL_SCHEMA)
 
 
-def sheet_shapes(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
+def read_cells(spark: SparkSession, folder: str, pattern: str | None = None,
+               null_as_zero: bool = False) -> DataFrame:
+    """Cells of all sheets of known layouts in a folder."""
+    return cells_of(spark, read_sheets(spark, folder, pattern), null_as_zero)
+
+
+def shapes_of_all(sheets: dict[tuple, DataFrame]) -> DataFrame:
     """One row per sheet: sheet, headers, data_volume, n_columns."""
-    parts = []
-    for header, df in read_sheets(spark, folder, pattern).items():
-        parts.append(
-            df.groupBy("sheet").agg(F.count(F.lit(1)).alias("data_volume")).select(
-                "sheet", F.array(*[F.lit(h) for h in header]).alias("headers"), "data_volume",
-                F.lit(len(header)).alias("n_columns"),
-            )
-        )
-    return union_all(parts)
+    return union_all([shapes_of(df, list(header)) for header, df in sheets.items()])
+
+
+def sheet_shapes(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
+    return shapes_of_all(read_sheets(spark, folder, pattern))
 
 
 def shapes_of(rows: DataFrame, headers: list[str]) -> DataFrame:
-    """The same for rows that are in a DataFrame already."""
+    """Shape of the sheets in a DataFrame with these headers."""
     return rows.groupBy("sheet").agg(F.count(F.lit(1)).alias("data_volume")).select(
         "sheet", F.array(*[header_text(F.lit(h)) for h in headers]).alias("headers"), "data_volume",
         F.lit(len(headers)).alias("n_columns"),
@@ -177,15 +190,19 @@ def read_kpis(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tagged(spark: SparkSession, paths: list[str] | str, fmt: str = "csv") -> DataFrame:
-    """Rows of many files with the file's name as ``sheet``, by header where they differ."""
+    """Rows of many files with the file's name as ``sheet``, by header where they differ.
+
+    ``paths`` is a folder, or files.
+    """
     if fmt != "csv":
-        return spark.read.format(fmt).load(paths).withColumn("sheet", file_stem())
+        return spark.read.format(fmt).load(paths).withColumn("sheet", file_sheet())
     if isinstance(paths, str):
         groups = header_groups(spark, paths)
     else:
         groups = {}
         for path in paths:
-            for header, found in header_groups(spark, path).items():
+            head, name = os.path.split(path)
+            for header, found in header_groups(spark, head, name).items():
                 groups.setdefault(header, []).extend(found)
     out = None
     for header, found in sorted(groups.items()):

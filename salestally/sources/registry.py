@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from salestally import fixed_values as fv
@@ -109,26 +111,32 @@ class Probe:
 
 
 def probe(registry: Registry, model: SalesModel, p: Params, names: list[str] | None = None,
-          limit: int | None = None) -> Probe:
+          limit: int | None = None, workers: int = 4) -> Probe:
     """Run each query of a catalogue once; a failure becomes a row.
 
     Every result is written and kept, so what the probe computed is what a
-    comparison reads later. The loop runs over the catalogue, whose length is
-    fixed by the code; counting and sampling touch only the written results.
+    comparison reads later; rows are counted while they are written. The loop
+    runs over the catalogue, whose length is fixed by the code. A few queries
+    run at a time, since most of them leave part of a cluster idle.
     """
-    rows, results = [], {}
-    for ord_, name in enumerate((names or fv.CATALOGUE)[:limit]):
+    spark = model.spark
+
+    def attempt(ord_: int, name: str) -> tuple[tuple, DataFrame | None]:
         try:
-            result = cut(registry.call(name, model, p), f"query-{name}")
-            count = result.count()
-            head = result.limit(1).select(row_map(result).alias("m")).collect()
-            sample = head[0]["m"] if head else None
-            rows.append((ord_, name, True, count, result.columns,
-                         output_shape_of(result.columns), sample, None))
-            results[name] = result
+            result = registry.call(name, model, p)
+            counted = Observation()
+            kept = cut(result.observe(counted, F.count(F.lit(1)).alias("n")), f"query-{name}")
+            head = kept.limit(1).select(row_map(kept).alias("m")).collect()
+            return (ord_, name, True, counted.get["n"], kept.columns, output_shape_of(kept.columns),
+                    head[0]["m"] if head else None, None), kept
         except Exception as error:  # one bad query must not end the run
-            rows.append((ord_, name, False, None, None, None, None, str(error).splitlines()[0]))
-    return Probe(rows, results, model.spark)
+            return (ord_, name, False, None, None, None, None, str(error).splitlines()[0]), None
+
+    wanted = list(enumerate((names or fv.CATALOGUE)[:limit]))
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        found = list(pool.map(inheritable_thread_target(spark)(lambda w: attempt(*w)), wanted))
+    results = {row[1]: kept for row, kept in found if kept is not None}
+    return Probe([row for row, _ in found], results, spark)
 
 
 def profile(registry: Registry, model: SalesModel, p: Params, names: list[str] | None = None,

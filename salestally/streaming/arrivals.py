@@ -13,7 +13,7 @@ from salestally.functions.names import identifier_or_unknown
 from salestally.operators import reconcile, report
 from salestally.operators.reshape import ACTUAL
 from salestally.session import scratch
-from salestally.sources.exports import CELL_SCHEMA, file_stem
+from salestally.sources.exports import CELL_SCHEMA, file_sheet, inside
 
 
 def stream_cells(spark: SparkSession, folder: str, fmt: str = "parquet",
@@ -22,11 +22,9 @@ def stream_cells(spark: SparkSession, folder: str, fmt: str = "parquet",
     reader = spark.readStream.schema(CELL_SCHEMA).format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(folder)
+    return reader.load(inside(folder, pattern))
 
 
 def stream_sheets(spark: SparkSession, folder: str,
@@ -34,10 +32,10 @@ def stream_sheets(spark: SparkSession, folder: str,
     """Cells from sheet files with the columns Identifier and Actual Sales."""
     rows = (
         spark.readStream.schema("Identifier string, `Actual Sales` string")
-        .option("header", True).option("pathGlobFilter", pattern).csv(folder)
+        .option("header", True).csv(inside(folder, pattern))
     )
     return rows.select(
-        file_stem().alias("sheet"), F.lit(0).cast("bigint").alias("row_ord"),
+        file_sheet().alias("sheet"), F.lit(0).cast("bigint").alias("row_ord"),
         identifier_or_unknown("Identifier").alias("identifier"),
         F.lit(ACTUAL).alias("metric"), F.trim("Actual Sales").alias("value_raw"),
     ).filter(F.col("value_raw").isNotNull())
