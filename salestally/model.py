@@ -32,6 +32,11 @@ from salestally.session import cut
 MONEY = "decimal(28,2)"
 
 
+def _is_store(p: Params) -> Column:
+    """Stores are asked for by id; any other text is no store."""
+    return F.col("store_key") == int(p.store) if p.store.isdigit() else F.lit(False)
+
+
 @dataclass(frozen=True)
 class SalesModel:
     """Canonical tables.
@@ -65,7 +70,7 @@ class SalesModel:
         """Stores within the store and state filters."""
         stores = self.stores
         if p.store is not None:
-            stores = stores.filter(F.col("store_key") == int(p.store))
+            stores = stores.filter(_is_store(p))
         if p.state is not None:
             wanted = self.states.filter(F.col("state") == p.state).select("state_key")
             stores = stores.join(wanted, "state_key", "left_semi")
@@ -83,7 +88,7 @@ class SalesModel:
     def _in_scope(self, lines: DataFrame, p: Params) -> DataFrame:
         """Only the filters that are set become predicates or semi-joins."""
         if p.store is not None:
-            lines = lines.filter(F.col("store_key") == int(p.store))
+            lines = lines.filter(_is_store(p))
         if p.state is not None:
             keys = self.scoped_stores(replace(p, store=None)).select("store_key")
             lines = lines.join(keys, "store_key", "left_semi")

@@ -46,10 +46,11 @@ def new_customers(model: SalesModel, p: Params) -> DataFrame:
 
     The scope filters apply to the whole history, the period only to the
     first day. Orders without a line in scope are no bills: they are removed
-    by a semi-join that reads nothing of the lines but their order key.
+    by a semi-join that reads nothing of the lines but their order key, each
+    key once, so that an order with very many lines is no burden to one task.
     """
     history = Params(channel=p.channel)
-    lines = model._in_scope(model.lines, p).select("order_key")
+    lines = model._in_scope(model.lines, p).select("order_key").distinct()
     bills = model._orders(history, compare=False).join(lines, "order_key", "left_semi")
     first = bills.groupBy("customer_key").agg(F.min("order_ts").alias("order_ts"))
     test = in_period(p, F.col("order_ts"))

@@ -238,11 +238,12 @@ def key_side_sample(sides: DataFrame, side: str, n: int = 3) -> DataFrame:
 
 
 def common_keys(export: DataFrame, db: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    return export.select(*keys).intersect(db.select(*keys))
+    return key_sides(export, db, keys).filter("side = 'common'").drop("side")
 
 
 def keys_missing_from(left: DataFrame, right: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    return left.select(*keys).subtract(right.select(*keys))
+    """Keys of the left side that the right side lacks."""
+    return key_sides(left, right, keys).filter("side = 'export_only'").drop("side")
 
 
 def equal_preview(export: DataFrame, db: DataFrame, n: int = 3) -> DataFrame:

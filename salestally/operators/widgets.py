@@ -17,8 +17,10 @@ def _total() -> Column:
     return F.sum("sales")
 
 
-def _ranked(df: DataFrame, measure: str, label: str, n: int | None) -> DataFrame:
-    """Descending by the measure, ties by label."""
+def _ranked(df: DataFrame, measure: str, label: str, n: int | None, ordered: bool) -> DataFrame:
+    """Descending by the measure, ties by label; a comparison takes the rows unsorted."""
+    if n is None and not ordered:
+        return df
     out = df.orderBy(F.col(f"`{measure}`").desc(), F.col(f"`{label}`"))
     return out if n is None else out.limit(n)
 
@@ -30,50 +32,56 @@ def _money(c: Column) -> Column:
 # --- rankings ---------------------------------------------------------------
 
 
-def top_stores(model: SalesModel, p: Params, n: int | None = None) -> DataFrame:
+def top_stores(model: SalesModel, p: Params, n: int | None = None,
+               ordered: bool = True) -> DataFrame:
     by_key = model.line_sales(p).groupBy("store_key").agg(_total().alias("sales"))
     named = (
         by_key.join(model.stores, "store_key")
         .groupBy(F.col("store").alias("Identifier"))
         .agg(_money(_total()).alias("Actual Sales"))
     )
-    return _ranked(named, "Actual Sales", "Identifier", n)
+    return _ranked(named, "Actual Sales", "Identifier", n, ordered)
 
 
-def _top_by_product_column(model, p, column: str, label: str, n) -> DataFrame:
+def _top_by_product_column(model, p, column: str, label: str, n, ordered) -> DataFrame:
     by_key = model.line_sales(p).groupBy("product_key").agg(_total().alias("sales"))
     named = (
         by_key.join(model.products, "product_key")
         .groupBy(F.col(column).alias(label))
         .agg(_money(_total()).alias("Sales"))
     )
-    return _ranked(named, "Sales", label, n)
+    return _ranked(named, "Sales", label, n, ordered)
 
 
-def top_brands(model: SalesModel, p: Params, n: int | None = None) -> DataFrame:
-    return _top_by_product_column(model, p, "brand", "BrandName", n)
+def top_brands(model: SalesModel, p: Params, n: int | None = None,
+               ordered: bool = True) -> DataFrame:
+    return _top_by_product_column(model, p, "brand", "BrandName", n, ordered)
 
 
-def top_categories(model: SalesModel, p: Params, n: int | None = None) -> DataFrame:
-    return _top_by_product_column(model, p, "category", "CategoryName", n)
+def top_categories(model: SalesModel, p: Params, n: int | None = None,
+                   ordered: bool = True) -> DataFrame:
+    return _top_by_product_column(model, p, "category", "CategoryName", n, ordered)
 
 
-def top_sub_categories(model: SalesModel, p: Params, n: int | None = None) -> DataFrame:
-    return _top_by_product_column(model, p, "sub_category", "CategoryName", n)
+def top_sub_categories(model: SalesModel, p: Params, n: int | None = None,
+                       ordered: bool = True) -> DataFrame:
+    return _top_by_product_column(model, p, "sub_category", "CategoryName", n, ordered)
 
 
-def top_products(model: SalesModel, p: Params, n: int | None = None) -> DataFrame:
-    return _top_by_product_column(model, p, "product", "ProductName", n)
+def top_products(model: SalesModel, p: Params, n: int | None = None,
+                 ordered: bool = True) -> DataFrame:
+    return _top_by_product_column(model, p, "product", "ProductName", n, ordered)
 
 
-def top_employees(model: SalesModel, p: Params, n: int | None = None) -> DataFrame:
+def top_employees(model: SalesModel, p: Params, n: int | None = None,
+                  ordered: bool = True) -> DataFrame:
     by_key = model.day_sales(p).groupBy("customer_key").agg(_total().alias("sales"))
     named = (
         by_key.join(model.customers, "customer_key")
         .groupBy(F.col("customer").alias("EmployeeName"))
         .agg(_money(_total()).alias("Sales"))
     )
-    return _ranked(named, "Sales", "EmployeeName", n)
+    return _ranked(named, "Sales", "EmployeeName", n, ordered)
 
 
 # --- year over year ---------------------------------------------------------
@@ -185,15 +193,14 @@ def store_targets(model: SalesModel, p: Params, targets: DataFrame | None = None
     )
 
 
-def store_actual_vs_target(model: SalesModel, p: Params,
-                           targets: DataFrame | None = None) -> DataFrame:
+def store_actual_vs_target(model: SalesModel, p: Params, targets: DataFrame | None = None,
+                           ordered: bool = True) -> DataFrame:
     """One row per store and metric, best store first."""
     wide = store_targets(model, p, targets).withColumn("rank_by", F.col("Actual Sales"))
-    return (
-        wide.unpivot(["Identifier", "rank_by"], ["Actual Sales", "Target"], "Metric", "Excel Value")
-        .orderBy(F.col("rank_by").desc_nulls_last(), "Identifier", "Metric")
-        .drop("rank_by")
-    )
+    out = wide.unpivot(["Identifier", "rank_by"], ["Actual Sales", "Target"], "Metric", "Excel Value")
+    if ordered:
+        out = out.orderBy(F.col("rank_by").desc_nulls_last(), "Identifier", "Metric")
+    return out.drop("rank_by")
 
 
 # --- details --------------------------------------------------------------------

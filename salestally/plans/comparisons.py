@@ -130,7 +130,7 @@ def landing_values(registry: Registry, model: SalesModel, p: Params,
     parts = []
     for sheet, query in (table or fv.LANDING_SHEETS).items():
         try:
-            parts.append(reshape.landing_cells(registry.call(query, model, p), sheet.strip()))
+            parts.append(reshape.landing_cells(registry.call(query, model, p, ordered=False), sheet.strip()))
         except Exception:  # one bad query must not end the run
             log.warning("query %s failed", query, exc_info=True)
             parts.append(model.spark.range(1).select(
@@ -217,7 +217,7 @@ def bundle_cells(registry: Registry, model: SalesModel, p: Params, queries: list
     parts = []
     for query in queries:
         try:
-            parts.append(reshape.drill_cells(registry.call(query, model, p), query))
+            parts.append(reshape.drill_cells(registry.call(query, model, p, ordered=False), query))
         except Exception:  # a missing query leaves its sheet without values
             log.warning("query %s failed", query, exc_info=True)
     short = [part.withColumn("sheet", sheet_title("sheet")) for part in parts]

@@ -31,21 +31,29 @@ class Registry:
 
     queries: dict[str, Builder] = field(default_factory=dict)
     kpi_labels: dict[str, str] = field(default_factory=dict)
+    sorted_queries: set[str] = field(default_factory=set)
 
-    def register(self, name: str, build: Builder) -> None:
+    def register(self, name: str, build: Builder, sorted_rows: bool = False) -> None:
+        """Add or replace a query; with ``sorted_rows`` it takes ``ordered=False``."""
         self.queries[name] = build
         self.kpi_labels.pop(name, None)
+        self.sorted_queries.discard(name)
+        if sorted_rows:
+            self.sorted_queries.add(name)
 
     def register_kpi(self, name: str, label: str) -> None:
         """A built-in KPI; several of them are computed in one pass."""
         self.register(name, lambda model, p: kpis.kpi(model, p, label))
         self.kpi_labels[name] = label
 
-    def call(self, name: str, model: SalesModel, p: Params) -> DataFrame:
+    def call(self, name: str, model: SalesModel, p: Params, ordered: bool = True) -> DataFrame:
+        """Result of a query. A comparison looks rows up by key and takes them unsorted."""
         try:
             build = self.queries[name]
         except KeyError:
             raise UnknownQuery(name) from None
+        if not ordered and name in self.sorted_queries:
+            return build(model, p, ordered=False)
         return build(model, p)
 
     def call_with(self, name: str, model: SalesModel, *values, **named) -> DataFrame:
@@ -62,17 +70,17 @@ class Registry:
 def default_registry() -> Registry:
     r = Registry()
     r.register("SP_SalesTrend", widgets.monthly_trend)
-    r.register("SP_TopPerformingEmployee", widgets.top_employees)
-    r.register("SP_TopProductsBySales", widgets.top_products)
+    r.register("SP_TopPerformingEmployee", widgets.top_employees, sorted_rows=True)
+    r.register("SP_TopProductsBySales", widgets.top_products, sorted_rows=True)
     r.register("SP_WeekdayWeekendSales", widgets.weekday_weekend)
     r.register("SP_WeekwiseSalesComparison", widgets.weekwise_comparison)
-    r.register("SP_TopStoresbySales", widgets.top_stores)
-    r.register("SP_TopBrandsBySales", widgets.top_brands)
-    r.register("SP_TopCategoriesBySaleswidget", widgets.top_categories)
-    r.register("SP_TopSubCategoriesBySales", widgets.top_sub_categories)
+    r.register("SP_TopStoresbySales", widgets.top_stores, sorted_rows=True)
+    r.register("SP_TopBrandsBySales", widgets.top_brands, sorted_rows=True)
+    r.register("SP_TopCategoriesBySaleswidget", widgets.top_categories, sorted_rows=True)
+    r.register("SP_TopSubCategoriesBySales", widgets.top_sub_categories, sorted_rows=True)
     r.register("SP_WeeklyTrendswidget", widgets.weekly_trends)
-    r.register("SP_StorewiseActualVsTarget_Vertical_SortedByActual", widgets.store_actual_vs_target)
-    r.register("SP_TopProductsBySaleswidget", widgets.top_products)
+    r.register("SP_StorewiseActualVsTarget_Vertical_SortedByActual", widgets.store_actual_vs_target, sorted_rows=True)
+    r.register("SP_TopProductsBySaleswidget", widgets.top_products, sorted_rows=True)
     for name, dimension in [
         ("SP_BrandTrends", "brand"), ("SP_CategoryTrends", "category"),
         ("SP_SubCategoryTrends", "sub_category"), ("SP_ProductTrends", "product"),
@@ -123,7 +131,7 @@ def probe(registry: Registry, model: SalesModel, p: Params, names: list[str] | N
 
     def attempt(ord_: int, name: str) -> tuple[tuple, DataFrame | None]:
         try:
-            result = registry.call(name, model, p)
+            result = registry.call(name, model, p, ordered=False)
             counted = Observation()
             kept = cut(result.observe(counted, F.count(F.lit(1)).alias("n")), f"query-{name}")
             head = kept.limit(1).select(row_map(kept).alias("m")).collect()
