@@ -9,7 +9,7 @@ from salestally.checks.analytics import (
     BOTH, MONTH, WEEK_OF_MONTH, WEEK_OF_YEAR, WEEKPART,
 )
 from salestally.checks.base import P, YEAR, cents
-from salestally.model import MONEY, SalesModel
+from salestally.model import MONEY, SalesModel, money
 from salestally.params import Params
 
 STORES_SHEET = "Sales Summary_Top Stores by Sal"
@@ -38,7 +38,7 @@ def entity_export(model: SalesModel, p: Params, kind: str) -> DataFrame:
         "stores": ("store_key", model.stores, "store", STORES_SHEET),
         "staff": ("customer_key", model.customers, "customer", STAFF_SHEET),
     }[kind]
-    sums = model.line_sales(p).groupBy(key).agg(F.sum("sales").cast(MONEY).alias("amount"))
+    sums = model.line_sales(p).groupBy(key).agg(money(F.sum("sales")).alias("amount"))
     k = F.col(key)
     return sums.join(names, key).select(
         F.lit(sheet).alias("sheet"), k.alias("row_ord"),

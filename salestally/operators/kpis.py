@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salestally import fixed_values as fv
-from salestally.model import MONEY, SalesModel, is_current
+from salestally.model import MONEY, SalesModel, amount, is_current, money, pieces
 from salestally.params import Params, in_period
 
 # label -> aggregate over bills (one row per order, so bills need no distinct)
 _AGGREGATES = {
-    "Total Sales": lambda: F.coalesce(F.sum("sales"), F.lit(0)).cast(MONEY),
-    "Total Units Sold": lambda: F.coalesce(F.sum("units"), F.lit(0)).cast(MONEY),
+    "Total Sales": lambda: F.coalesce(money(F.sum("sales")), F.lit(0).cast(MONEY)),
+    "Total Units Sold": lambda: F.coalesce(pieces(F.sum("units")), F.lit(0).cast(MONEY)),
     "Total No. of Bills": lambda: F.count(F.lit(1)).cast(MONEY),
-    "Avg. Bill Value": lambda: F.try_divide(F.sum("sales"), F.count(F.lit(1))).cast(MONEY),
+    "Avg. Bill Value": lambda: F.try_divide(amount(F.sum("sales")), F.count(F.lit(1))).cast(MONEY),
     "Avg. Daily Sales": lambda: F.try_divide(
-        F.sum("sales"), F.count_distinct(F.to_date("order_ts"))
+        amount(F.sum("sales")), F.count_distinct(F.to_date("order_ts"))
     ).cast(MONEY),
     "Total Customers": lambda: F.count_distinct("customer_key").cast(MONEY),
 }
@@ -67,13 +67,13 @@ def sales_per_area(model: SalesModel, p: Params, areas: DataFrame | None = None)
     stores = model.scoped_stores(p).select("store_key", "area")
     if areas is not None:
         stores = stores.drop("area").join(areas, "store_key")
-    money = model.bills(p).agg(F.sum("sales").alias("sales"), F.lit(0).cast("bigint").alias("area"))
+    sold = model.bills(p).agg(F.sum("sales").alias("sales"), F.lit(0).cast("bigint").alias("area"))
     floor = stores.agg(
-        F.lit(0).cast("decimal(28,4)").alias("sales"), F.sum("area").cast("bigint").alias("area")
+        F.lit(0).cast("decimal(28,0)").alias("sales"), F.sum("area").cast("bigint").alias("area")
     )
     return (
-        money.unionByName(floor)
-        .agg(F.try_divide(F.sum("sales"), F.sum("area")).cast(MONEY).alias("Value"))
+        sold.unionByName(floor)
+        .agg(F.try_divide(amount(F.sum("sales")), F.sum("area")).cast(MONEY).alias("Value"))
     )
 
 
@@ -124,8 +124,8 @@ def kpi_comparison(model: SalesModel, p: Params) -> DataFrame:
     """Sales of the period, of the same period a year before, change in percent."""
     now = is_current(p)
     sums = model.day_sales(p, compare=True).agg(
-        F.sum(F.when(now, F.col("sales"))).cast(MONEY).alias("Current_Value"),
-        F.sum(F.when(~now, F.col("sales"))).cast(MONEY).alias("Previous_Value"),
+        money(F.sum(F.when(now, F.col("sales")))).alias("Current_Value"),
+        money(F.sum(F.when(~now, F.col("sales")))).alias("Previous_Value"),
     )
     change = F.try_divide(
         (F.col("Current_Value") - F.col("Previous_Value")).cast("double") * 100,

@@ -6,10 +6,12 @@ tables meet one row per key. Money is exact until the last projection.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salestally.model import MONEY, SalesModel, is_current
+from salestally.model import MONEY, SalesModel, amount, is_current, money, pieces
 from salestally.params import Params
 
 
@@ -26,7 +28,7 @@ def _ranked(df: DataFrame, measure: str, label: str, n: int | None, ordered: boo
 
 
 def _money(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0)).cast(MONEY)
+    return F.coalesce(money(c), F.lit(0).cast(MONEY))
 
 
 # --- rankings ---------------------------------------------------------------
@@ -176,20 +178,19 @@ def store_targets(model: SalesModel, p: Params, targets: DataFrame | None = None
         now = is_current(p)
         by_key = model.line_sales(p, compare=True).groupBy("store_key").agg(
             F.sum(F.when(now, F.col("sales"))).alias("sales"),
-            (F.sum(F.when(~now, F.col("sales"))) * F.lit("1.10").cast("decimal(3,2)")).alias("target"),
+            F.sum(F.when(~now, F.col("sales"))).alias("before"),
         )
+        target = (amount(F.sum("before")) * F.lit(Decimal("1.10"))).cast(MONEY)
     else:
         by_key = (
             model.line_sales(p).groupBy("store_key").agg(_total().alias("sales"))
             .join(targets.select("store_key", "target"), "store_key", "left")
         )
+        target = F.sum("target").cast(MONEY)
     return (
         by_key.join(model.stores, "store_key")
         .groupBy(F.col("store").alias("Identifier"))
-        .agg(
-            F.sum("sales").cast(MONEY).alias("Actual Sales"),
-            F.sum("target").cast(MONEY).alias("Target"),
-        )
+        .agg(money(F.sum("sales")).alias("Actual Sales"), target.alias("Target"))
     )
 
 
@@ -219,7 +220,7 @@ def product_detail(model: SalesModel, p: Params) -> DataFrame:
         .groupBy(F.col("product").alias("ProductName"))
         .agg(
             _money(_total()).alias("Sales"),
-            F.sum("units").cast(MONEY).alias("Units"),
+            pieces(F.sum("units")).alias("Units"),
             F.count_distinct("order_key").alias("Bills"),
         )
         .orderBy(F.col("Sales").desc(), "ProductName")
