@@ -126,9 +126,10 @@ model_check("sales_by_region", with_fact(
 
 # --- KPIs -----------------------------------------------------------------------------------------
 
+# sums over no rows are 0, averages are null
 AVERAGES = {
-    "Total Sales": S,
-    "Total Units Sold": money("sum(units)"),
+    "Total Sales": money("coalesce(sum(s), 0)"),
+    "Total Units Sold": money("coalesce(sum(units), 0)"),
     "Total No. of Bills": "CAST(count(DISTINCT bill) AS DOUBLE)",
     "Avg. Bill Value": "round(CAST(sum(s) AS DOUBLE) / count(DISTINCT bill), 2)",
     "Avg. Daily Sales": "round(CAST(sum(s) AS DOUBLE) / count(DISTINCT d), 2)",

@@ -72,8 +72,8 @@ def _(spark, folder):
         "o_orderkey", F.col("year").cast("bigint").alias("year"), "store", "extra_store")
 
 
-@check("store_ids", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderkey % 50 AS VARCHAR) WHEN 1 THEN CAST(o_orderkey AS VARCHAR) END AS store_id
-FROM orders""")
+@check("store_ids", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(s_suppkey AS VARCHAR) WHEN 1 THEN CAST(o_orderkey AS VARCHAR) END AS store_id
+FROM orders LEFT JOIN supplier ON s_name = 'Supplier#' || lpad(CAST(o_orderkey % 50 AS VARCHAR), 9, '0')""")
 def _(spark, folder):
     """Store names from the store table become ids, digits stay, other names have none."""
     k = F.col("o_orderkey")

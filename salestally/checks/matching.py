@@ -8,7 +8,7 @@ from salestally import fixed_values as fv
 from salestally.checks import cells as cx
 from salestally.checks.base import P, check, model_check, with_fact
 from salestally.model import read_table
-from salestally.operators import match, reshape
+from salestally.operators import match, reshape, widgets
 from salestally.plans import comparisons
 from salestally.session import cut
 from salestally.sources.exports import sample_rows, shapes_of
@@ -52,17 +52,20 @@ EXPECTED = {
 def sheet_rows(m, sheet: str):
     """The sheet's rows in its own columns, filled from its query."""
     query, headers = SHEETS[sheet]
-    result = default_registry().call(query, m, P)
-    cells = reshape.format_result(result, sheet, match.output_shape_of(result.columns))
-    base = [F.col("sheet"), F.lit(0).cast("bigint").alias("row_ord")]
+    base = [F.lit(sheet).alias("sheet"), F.lit(0).cast("bigint").alias("row_ord")]
+    if "Targets" in headers:
+        result = widgets.store_targets(m, P).withColumnRenamed("Target", "Targets")
+    else:
+        result = default_registry().call(query, m, P, ordered=False)
     if headers[0] == "Identifier/Label":
+        cells = reshape.format_result(result, sheet, "weekday_weekend")
         return cells.select(*base, F.col("identifier").alias("Identifier/Label"),
                             F.col("metric").alias("Metric"), F.col("value").alias("Excel Value"))
-    source = {"Actual Sales": "Actual Sales", "Sales": "Actual Sales", "Targets": "Target",
-              "Previous Year": "Previous Year", "Current Year": "Current Year"}
-    wide = cells.groupBy("sheet", "identifier").agg(*[
-        F.max(F.when(F.col("metric") == source[h], F.col("value"))).alias(h) for h in headers[1:]])
-    return wide.select(*base, F.col("identifier").alias("Identifier"), *[F.col(f"`{h}`") for h in headers[1:]])
+    label, *values = result.columns
+    named = {"Current Year": "CurrentYearSales", "Previous Year": "PreviousYearSales"}
+    return result.select(*base, F.col(label).alias("Identifier"), *[
+        F.col(f"`{named.get(h, h if h in values else values[0])}`").cast("string").alias(h)
+        for h in headers[1:]])
 
 
 def all_shapes(m, names=None):

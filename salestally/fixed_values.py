@@ -357,6 +357,7 @@ DECIMAL_PLACES = 2
 CURRENCY_SYMBOL = "$"
 NULL_DISPLAY = "N/A"
 NOT_FOUND = "Not Found"
+NULL_TEXT = "None"
 UNKNOWN = "Unknown"
 
 # --- KPI status ladder: database text, status, note ----------------------

@@ -94,9 +94,8 @@ def stamp(c: Column | str) -> Column:
 
 def percent(part: Column, whole: Column) -> Column:
     """Share with one decimal and a percent sign, 0% of nothing."""
-    return F.coalesce(
-        F.format_string("%.1f%%", F.try_divide(part * F.lit(100.0), whole)), F.lit("0%")
-    )
+    share = F.format_string("%.1f%%", F.try_divide(part * F.lit(100.0), whole))
+    return F.when(whole > 0, share).otherwise(F.lit("0%"))
 
 
 def fill_nulls(df: DataFrame, sql_types: dict[str, str]) -> DataFrame:

@@ -49,12 +49,15 @@ def reconcile_kpis(export: DataFrame, db: DataFrame, numeric: bool = False) -> D
     """KPI by KPI: values as text, status and note.
 
     export: kpi_name, value_raw and, where names repeat, ord (the last wins).
-    db: kpi_name, value. With ``numeric`` values are compared as amounts.
+    db: kpi_name, value. With ``numeric`` values are compared as amounts. A
+    value that is null is compared as the text it is printed with.
     """
     order = "ord" if "ord" in export.columns else "value_raw"
-    left = last_wins(export, ["kpi_name"], "value_raw", order)
+    text = export.withColumn("value_raw", F.coalesce("value_raw", F.lit(fv.NULL_TEXT)))
+    left = last_wins(text, ["kpi_name"], "value_raw", order)
     right = last_wins(
-        db.select(kpi_key("kpi_name").alias("lookup"), "value"), ["lookup"], "value", "value"
+        db.select(kpi_key("kpi_name").alias("lookup"), F.coalesce("value", F.lit(fv.NULL_TEXT)).alias("value")),
+        ["lookup"], "value", "value",
     )
     joined = left.withColumn("lookup", kpi_key("kpi_name")).join(right, "lookup", "left")
     found = F.coalesce("value", F.lit(fv.NOT_FOUND))

@@ -191,7 +191,8 @@ def kpi_values(registry: Registry, model: SalesModel, p: Params,
     if shared:
         parts.append(
             kpis.kpi_set(model, p, shared).select(
-                "kpi_name", kpis.value_text(F.col("value")).alias("value")
+                "kpi_name",
+                F.coalesce(kpis.value_text(F.col("value")), F.lit(fv.NULL_TEXT)).alias("value"),
             )
         )
     for label, name in table.items():
@@ -204,7 +205,7 @@ def kpi_values(registry: Registry, model: SalesModel, p: Params,
             part = result.agg(F.first(first).alias("v"), F.count(F.lit(1)).alias("n")).select(
                 F.lit(label).alias("kpi_name"),
                 F.when(F.col("n") == 0, F.lit(fv.NO_RESULT))
-                .otherwise(F.trim(F.coalesce("v", F.lit("None")))).alias("value"),
+                .otherwise(F.trim(F.coalesce("v", F.lit(fv.NULL_TEXT)))).alias("value"),
             )
         except UnknownQuery:
             part = _constant_kpi(spark, label, "SP Not Found")
