@@ -165,9 +165,6 @@ def _(m):
     return mapping.table.select("sheet", "sp_name").join(counts, "sheet")
 
 
-_LAYOUT_OF = {"entity": "standard", "employee": "standard", "target": "target", "year": "year"}
-
-
 def _compared_sql() -> str:
     parts = []
     for sheet in ("Sales Summary_Top Stores by Sal", "Sales Summary_Top Brands by Sal",
@@ -188,11 +185,9 @@ def _(m):
     shapes = cut(all_shapes(pinned, wanted), "sheet-shapes")
     groups = {}
     for sheet in wanted:
-        headers = SHEETS[sheet][1]
-        layout = reshape.layout_of(headers)
-        cells = reshape.sheet_cells(sheet_rows(pinned, sheet), layout)
-        kind = _LAYOUT_OF[layout]
-        groups.setdefault(kind, []).append(comparisons.wide_rows(cells, comparisons.WIDE_LAYOUTS[kind]))
+        layout = reshape.layout_of(SHEETS[sheet][1])
+        groups.setdefault(comparisons.WIDE_OF[layout], []).append(
+            reshape.sheet_wide(sheet_rows(pinned, sheet), layout))
     wide = {kind: reshape.union_all(parts) for kind, parts in groups.items()}
     reports = comparisons.compare_mapped(wide, shapes, default_registry(), m, P)
     parts = []

@@ -147,38 +147,32 @@ def output_shape_of(columns: list[str]) -> str:
 
 # --- scores -------------------------------------------------------------------------
 
+# A probed query: (ord, name, shape, row_count, columns). One per catalogue entry.
+Found = tuple[int, str, str, int, list[str]]
 
-def query_literals(found: list[tuple]) -> Column:
-    """Probed queries as an array literal: ord, name, shape, returned rows, has columns.
-
-    ``found`` holds (ord, name, shape, row_count, columns) of working queries;
-    there is one per catalogue entry, so the literal stays small.
-    """
-    return F.array(*[
-        F.struct(
-            F.lit(ord_).alias("ord"), F.lit(name).alias("sp_name"), F.lit(shape).alias("shape"),
-            F.lit(bool(rows)).alias("has_rows"), F.lit(bool(columns)).alias("has_columns"),
-        )
-        for ord_, name, shape, rows, columns in found
-    ])
 
+def _any(tests: list[Column]) -> Column:
+    out = F.lit(False)
+    for test in tests:
+        out = out | test
+    return out
 
-def _direct(sheet: Column, query: Column, has_target: Column, rules) -> Column:
-    """Whether a name rule joins this sheet and this query."""
-    def hit(words, name):
-        return sheet.contains(words) & query.contains(name)
 
-    usual = F.lit(False)
-    for words, name in rules:
-        usual = usual | hit(words, name)
+def _direct(sheet: Column, has_target: Column, query: str, rules) -> Column:
+    """Whether a name rule joins a sheet with this query."""
+    usual = _any([sheet.contains(words) for words, name in rules if name in query])
     words, name = fv.TARGET_SHEET_NAME
-    return F.when(sheet.contains(words) & has_target, hit(words, name)).otherwise(usual)
+    special = sheet.contains(words) & has_target
+    return F.when(special, F.lit(name in query)).otherwise(usual)
 
 
-def _boost(sheet: Column, query: Column, has_target: Column, boosts) -> Column:
+def _boost(sheet: Column, has_target: Column, query: str, boosts) -> Column:
+    """Points of the first boost for this query whose words fit the sheet."""
     ladder = None
     for name, present, absent, target, tenths in boosts:
-        test = query.contains(name)
+        if name not in query:
+            continue
+        test = F.lit(True)
         for word in present:
             test = test & sheet.contains(word)
         for word in absent:
@@ -186,23 +180,15 @@ def _boost(sheet: Column, query: Column, has_target: Column, boosts) -> Column:
         if target != "any":
             test = test & (has_target if target == "yes" else ~has_target)
         ladder = F.when(test, tenths) if ladder is None else ladder.when(test, tenths)
-    return ladder.otherwise(0)
-
-
-def _shared_tag(shape: Column, tags: Column) -> Column:
-    test = F.lit(False)
-    for name, expected in fv.EXPECTED_TAGS.items():
-        wanted = F.array(*[F.lit(t) for t in expected])
-        test = test | ((shape == name) & F.arrays_overlap(wanted, tags))
-    return test
+    return F.lit(0) if ladder is None else ladder.otherwise(0)
 
 
 def _points(test: Column, tenths: int) -> Column:
     return F.when(test, F.lit(tenths)).otherwise(F.lit(0))
 
 
-def score_all(profiles: DataFrame, queries: Column, rules=None, boosts=None) -> DataFrame:
-    """Add ``scores``: per query an (tenths, -ord, name, shape) struct.
+def score_all(profiles: DataFrame, found: list[Found], rules=None, boosts=None) -> DataFrame:
+    """Add ``scores``: per query a (tenths, -ord, name, shape) struct.
 
     Scores are whole tenths, so equal scores are equal. ``rules`` and
     ``boosts`` replace the fixed name rules and the fixed boosts.
@@ -214,22 +200,22 @@ def score_all(profiles: DataFrame, queries: Column, rules=None, boosts=None) ->
     has_target = F.array_contains(tags, "target_data")
     has_keys = F.size(F.map_keys("key_columns")) > 0
 
-    def scored(q: Column) -> Column:
+    def scored(ord_: int, query: str, shape: str, rows: int, columns: list[str]) -> Column:
+        expected = fv.EXPECTED_TAGS.get(shape, [])
         total = (
-            _points(_direct(sheet, q["sp_name"], has_target, rules), fv.SCORE_DIRECT)
-            + _points(_shared_tag(q["shape"], tags), fv.SCORE_TAGS)
-            + _boost(sheet, q["sp_name"], has_target, boosts)
-            + _points(q["has_rows"], fv.SCORE_VOLUME)
-            + _points(has_keys & q["has_columns"], fv.SCORE_COLUMNS)
+            _points(_direct(sheet, has_target, query, rules), fv.SCORE_DIRECT)
+            + _points(F.arrays_overlap(F.array(*[F.lit(t) for t in expected]), tags)
+                      if expected else F.lit(False), fv.SCORE_TAGS)
+            + _boost(sheet, has_target, query, boosts)
+            + F.lit(fv.SCORE_VOLUME if rows else 0)
+            + _points(has_keys, fv.SCORE_COLUMNS if columns else 0)
         )
         return F.struct(
-            F.least(total, F.lit(fv.SCORE_CAP)).alias("tenths"),
-            (-q["ord"]).alias("first"),
-            q["sp_name"].alias("sp_name"),
-            q["shape"].alias("output_pattern"),
+            F.least(total, F.lit(fv.SCORE_CAP)).alias("tenths"), F.lit(-ord_).alias("first"),
+            F.lit(query).alias("sp_name"), F.lit(shape).alias("output_pattern"),
         )
 
-    return profiles.withColumn("scores", F.transform(queries, scored))
+    return profiles.withColumn("scores", F.array(*[scored(*q) for q in found]))
 
 
 def best_match(scored: DataFrame, floor: int = fv.SCORE_FLOOR) -> DataFrame:
@@ -253,7 +239,6 @@ def best_match(scored: DataFrame, floor: int = fv.SCORE_FLOOR) -> DataFrame:
     )
 
 
-def match_sheets(sheets: DataFrame, found: list[tuple], rules=None, boosts=None) -> DataFrame:
+def match_sheets(sheets: DataFrame, found: list[Found], rules=None, boosts=None) -> DataFrame:
     """Profile, score and choose in one projection over the sheets."""
-    profiles = sheet_profiles(sheets)
-    return best_match(score_all(profiles, query_literals(found), rules, boosts))
+    return best_match(score_all(sheet_profiles(sheets), found, rules, boosts))

@@ -279,36 +279,52 @@ def pick_header(headers: list[str], *wanted: str, position: int = 0) -> str:
     return next((by_low[w] for w in wanted if w in by_low), headers[position])
 
 
-def sheet_cells(df: DataFrame, layout: str, null_as_zero: bool = False) -> DataFrame:
-    """Cells of export rows of one layout: sheet, row_ord, identifier, metric, value_raw.
+_MEASURES = {
+    "target": {ACTUAL: "actual sales", TARGET: "targets"},
+    "entity": {ACTUAL: "actual sales"},
+    "employee": {ACTUAL: "sales"},
+    "year": {PREVIOUS: "previous year", CURRENT: "current year"},
+}
+
 
-    ``df`` has the columns sheet and row_ord besides the sheet's own. Empty
-    measures are skipped, or read as "0" with ``null_as_zero``; a metric/value
-    row is kept even when it is empty.
+def _own_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in ("sheet", "row_ord")]
+
+
+def sheet_wide(df: DataFrame, layout: str) -> DataFrame:
+    """Export rows of a layout with measures in columns, under the metrics' names.
+
+    ``df`` has the columns sheet and row_ord besides the sheet's own.
     """
-    own = [c for c in df.columns if c not in ("sheet", "row_ord")]
+    own = _own_columns(df)
     low = {c.strip().lower(): c for c in own}
+    low.setdefault("targets", low.get("target"))
     name = _c(pick_header(own, "identifier", "identifier/label", "week"))
-    head = [F.trim("sheet").alias("sheet"), "row_ord"]
+    return df.select(
+        F.trim("sheet").alias("sheet"), "row_ord", identifier_or_unknown(name).alias("identifier"),
+        *[_text(_c(low[h])).alias(m) for m, h in _MEASURES[layout].items()],
+    )
+
+
+def sheet_cells(df: DataFrame, layout: str, null_as_zero: bool = False) -> DataFrame:
+    """Cells of export rows of one layout: sheet, row_ord, identifier, metric, value_raw.
 
+    Empty measures are skipped, or read as "0" with ``null_as_zero``; a
+    metric/value row is kept even when it is empty.
+    """
     if layout in ("metric", "week_metric"):
+        own = _own_columns(df)
+        low = {c.strip().lower(): c for c in own}
+        name = _c(pick_header(own, "identifier", "identifier/label", "week"))
         value = _text(_c(low["excel value" if layout == "metric" else "value"]))
-        metric = identifier_or_blank(_c(low["metric"]))
         return df.select(
-            *head, identifier_or_unknown(name).alias("identifier"), metric.alias("metric"),
+            F.trim("sheet").alias("sheet"), "row_ord", identifier_or_unknown(name).alias("identifier"),
+            identifier_or_blank(_c(low["metric"])).alias("metric"),
             (F.coalesce(value, F.lit("0")) if null_as_zero else value).alias("value_raw"),
         )
-    measures = {
-        "target": {ACTUAL: "actual sales", TARGET: "targets" if "targets" in low else "target"},
-        "entity": {ACTUAL: "actual sales"},
-        "employee": {ACTUAL: "sales"},
-        "year": {PREVIOUS: "previous year", CURRENT: "current year"},
-    }[layout]
-    wide = df.select(
-        *head, identifier_or_unknown(name).alias("identifier"),
-        *[_text(_c(low[h])).alias(m) for m, h in measures.items()],
+    long = sheet_wide(df, layout).unpivot(
+        ["sheet", "row_ord", "identifier"], list(_MEASURES[layout]), "metric", "value_raw"
     )
-    long = wide.unpivot(["sheet", "row_ord", "identifier"], list(measures), "metric", "value_raw")
     if null_as_zero:
         return long.withColumn("value_raw", F.coalesce("value_raw", F.lit("0")))
     return long.filter(F.col("value_raw").isNotNull())

@@ -91,13 +91,6 @@ def mapped_cells(mapping: Mapping) -> DataFrame | None:
     return reconcile.override_union(parts) if parts else None
 
 
-def wide_rows(cells: DataFrame, metrics: list[str]) -> DataFrame:
-    """Export cells back in columns: sheet, row_ord, identifier, one column per metric."""
-    return cells.groupBy("sheet", "row_ord", "identifier").agg(*[
-        F.max(F.when(F.col("metric") == m, F.col("value_raw"))).alias(m) for m in metrics
-    ])
-
-
 def compare_mapped(wide: dict[str, DataFrame], sheets: DataFrame, registry: Registry,
                    model: SalesModel, p: Params, **match) -> dict[str, DataFrame] | None:
     """Compare sheets with the queries their profile leads to.
@@ -260,13 +253,15 @@ def compare_folder(spark, folder: str, title: str, target: str, registry: Regist
     return compare_drill_through(cells, wide, shapes, title, target, registry, model, p, stores)
 
 
+# export layout -> layout of the wide report
+WIDE_OF = {"target": "target", "year": "year", "entity": "standard", "employee": "standard"}
+
+
 def wide_layouts(sheets: dict[tuple, DataFrame]) -> dict[str, DataFrame]:
     """Sheets as read, grouped by the layout of their wide report."""
     groups: dict[str, list[DataFrame]] = {}
     for header, df in sheets.items():
         layout = reshape.layout_of(list(header))
-        kind = {"target": "target", "year": "year", "entity": "standard", "employee": "standard"}.get(layout)
-        if kind:
-            cells = reshape.sheet_cells(df, layout)
-            groups.setdefault(kind, []).append(wide_rows(cells, WIDE_LAYOUTS[kind]))
+        if layout in WIDE_OF:
+            groups.setdefault(WIDE_OF[layout], []).append(reshape.sheet_wide(df, layout))
     return {kind: reshape.union_all(parts) for kind, parts in groups.items()}
