@@ -6,11 +6,11 @@ is the name of the file or folder without suffix.
 
 from __future__ import annotations
 
-import csv
 import json
 import os
-import urllib.parse
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,12 +28,19 @@ def decoded(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
+_FOLDER_LIKE_FILE = r"\.(csv|parquet|json|orc)$"
+
+
+def sheet_root(path: Column) -> Column:
+    """Path of a sheet: the file's folder where that is named like a file, else the file."""
+    folder = F.regexp_replace(path, "/[^/]*$", "")
+    return F.when(folder.rlike(_FOLDER_LIKE_FILE), folder).otherwise(path)
+
+
 def sheet_of(path: Column) -> Column:
-    """Sheet a file belongs to: its folder where that is named like a file, else itself."""
-    parts = F.split(path, "/")
-    folder, name = F.try_element_at(parts, F.lit(-2)), F.element_at(parts, -1)
-    own = F.when(folder.rlike(r"\.(csv|parquet|json|orc)$"), folder).otherwise(name)
-    return F.regexp_replace(own, r"\.[^.]*$", "")
+    """Name of the sheet a file belongs to."""
+    name = F.element_at(F.split(sheet_root(path), "/"), -1)
+    return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
 def file_sheet() -> Column:
@@ -77,39 +84,32 @@ def new_files(files: DataFrame, seen: DataFrame, skip_word: str = fv.KPI_FILE_WO
 # --- sheets ------------------------------------------------------------------------
 
 
-def first_lines(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
-    """Header line of each CSV file: path, header.
+def header_groups(spark: SparkSession, folder: str, pattern: str | None = None) -> dict[tuple, list[str]]:
+    """Distinct header -> the sheets that have it.
 
-    The first split of a file holds its first line; within a split lines come
-    in order, so the smallest running id of that split is the header.
+    Sheets are listed, and of each the first line is read; the rows stay where
+    they are. Sheets share a handful of headers, and with one read per header
+    their number does not enter the plan.
     """
-    lines = spark.read.text(inside(folder, pattern)).select(
-        "value", F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("i"),
-    )
-    return lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "i").alias("header"))
-
+    listing = spark.read.format("binaryFile").load(inside(folder, pattern)).filter("length > 0")
+    roots = listing.select(sheet_root(F.col("path")).alias("root")).distinct()
+    paths = sorted(row.root for row in roots.toLocalIterator())
 
-def header_groups(spark: SparkSession, folder: str, pattern: str | None = None) -> dict[tuple, list[str]]:
-    """Distinct header -> its files. Sheets share a handful of headers.
+    def header(path: str) -> tuple:
+        return tuple(c.strip() for c in spark.read.option("header", True).csv(path).columns)
 
-    The list of files comes to the driver, as it does for every file scan;
-    their rows do not.
-    """
     groups: dict[tuple, list[str]] = {}
-    for row in first_lines(spark, folder, pattern).toLocalIterator():
-        if row.header.strip():
-            header = tuple(h.strip() for h in next(csv.reader([row.header])))
-            groups.setdefault(header, []).append(row.path)
-    return {header: sorted(paths) for header, paths in groups.items()}
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        for path, names in zip(paths, pool.map(inheritable_thread_target(spark)(header), paths)):
+            if names:
+                groups.setdefault(names, []).append(path)
+    return groups
 
 
 def _read_group(spark: SparkSession, header: tuple, paths: list[str]) -> DataFrame:
     schema = ", ".join(f"`{h.strip()}` string" for h in header)
-    plain = [urllib.parse.unquote(p) for p in paths]
     return (
-        spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(plain)
+        spark.read.schema(schema).option("header", True).csv(paths)
         .withColumn("sheet", file_sheet())
         .withColumn("row_ord", F.monotonically_increasing_id())
     )
