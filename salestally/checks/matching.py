@@ -120,8 +120,9 @@ _PROFILES = "\nUNION ALL ".join(
 def _(m):
     """Tags, key columns and suggested queries of every sheet."""
     profiles = match.sheet_profiles(all_shapes(m.pinned(P)))
-    keys = F.array_join(F.array_sort(F.transform(
-        F.map_entries("key_columns"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), " ")
+    keys = F.concat_ws(" ", *[
+        F.concat(F.lit(f"{role}="), F.col(f"key_columns.{role}").cast("string"))
+        for role in sorted(match.KEY_ROLES)])
     return profiles.select(
         "sheet", "normalized_name", F.array_join("data_patterns", " ").alias("tags"), keys.alias("keys"),
         F.array_join(F.transform("suggested_sps", lambda s: s["sp_name"]), " ").alias("suggested"),

@@ -82,9 +82,11 @@ def last_word(c: Column | str) -> Column:
 
 
 def lookup(c: Column | str, table: dict[str, str]) -> Column:
-    """Value of a fixed table for a key, null where the key is unknown."""
-    entries = [F.lit(part) for pair in table.items() for part in pair]
-    return F.try_element_at(F.create_map(*entries), _col(c))
+    """Value of a short fixed table for a key, null where the key is unknown."""
+    c, found = _col(c), None
+    for key, value in table.items():
+        found = F.when(c == key, value) if found is None else found.when(c == key, value)
+    return F.lit(None).cast("string") if found is None else found
 
 
 def without_sales_suffix(c: Column | str) -> Column:

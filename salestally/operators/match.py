@@ -40,7 +40,7 @@ def _first(headers: Column, test) -> Column:
 
 
 def key_columns(headers: Column) -> Column:
-    """Role -> position among the headers, for the roles that are present.
+    """Position among the headers per role, a struct with null for absent roles.
 
     A header that says identifier wins; failing that the first one that names
     an entity. For the other roles the last fitting header counts, as when the
@@ -69,8 +69,15 @@ def key_columns(headers: Column) -> Column:
             headers, lambda h: h.contains("excel value") & ~h.contains("metric")
         ),
     }
-    entries = F.array(*[F.struct(F.lit(role), place) for role, place in roles.items()])
-    return F.map_from_entries(F.filter(entries, lambda e: e["col2"].isNotNull()))
+    return F.struct(*[place.alias(role) for role, place in roles.items()])
+
+
+KEY_ROLES = ["identifier", "actual_sales", "sales", "target", "current_year", "previous_year",
+             "metric", "excel_value"]
+
+
+def has_key_columns() -> Column:
+    return F.coalesce(*[F.col(f"key_columns.{role}") for role in KEY_ROLES]).isNotNull()
 
 
 def suggestions(sheet: Column, headers: Column) -> Column:
@@ -198,7 +205,7 @@ def score_all(profiles: DataFrame, found: list[Found], rules=None, boosts=None)
     sheet = F.lower("sheet")
     tags = F.col("data_patterns")
     has_target = F.array_contains(tags, "target_data")
-    has_keys = F.size(F.map_keys("key_columns")) > 0
+    has_keys = has_key_columns()
 
     def scored(ord_: int, query: str, shape: str, rows: int, columns: list[str]) -> Column:
         expected = fv.EXPECTED_TAGS.get(shape, [])
