@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salestally.llm.common import chunks, documents, fresh, put, query
+from salestally.llm.common import chunks, documents, fresh, map_batches, put, query
 
 # words whose encoding a task keeps; the store starts anew beyond it
 KEPT_WORDS = 600_000
@@ -235,7 +235,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids",
                            for f in schema.names]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    out = rows.mapInArrow(run, schema)
+    out = map_batches(rows, run, schema)
     if unpack:
         out = out.withColumn(ids, _unpacked(out[ids]))
     return out
@@ -267,7 +267,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
                 columns = [pa.array(texts, pa.string()) if f == text else piece.column(f) for f in schema.names]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def default_tokenizer() -> str:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -69,6 +71,24 @@ def chunks(texts: Iterable[str | None], limit: int) -> Iterator[tuple[int, list[
         yield start, held
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where their path does not lead to it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    context = spark.sparkContext
+    known = [os.path.realpath(p or ".") for p in ["", *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
+    if os.path.realpath(root) in known or getattr(context, "_salestally_shipped", False):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "salestally"), "zip", root, "salestally")
+    context.addPyFile(archive)
+    context._salestally_shipped = True
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``run`` over the Arrow batches of each partition."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def arrow_schema(df: DataFrame) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
