@@ -27,11 +27,11 @@ from pyspark.sql import types as T
 from salestally.llm.common import chunks, documents, fresh, map_batches, put, query
 
 # words whose encoding a task keeps; the store starts anew beyond it
-KEPT_WORDS = 600_000
+KEPT_WORDS = 200_000
 # pairs of tokens whose verdict it keeps
-KEPT_PAIRS = 2_000_000
+KEPT_PAIRS = 300_000
 # characters of text that are encoded together
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 # splits text into words before the merges (fixed: the vocabulary was made with it)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -89,7 +89,7 @@ class Vocabulary:
             pair, whole = (ids[left], ids[right]), ids[left + right]
             if self.merges.setdefault(pair, rank) == rank and whole not in self.halves:
                 self.halves[whole] = (rank, *pair)
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}  # by the two tokens in one number
         # tokens that the merges make of their own bytes
         self.ids = {piece: i for piece, i in ids.items()
                     if len(piece) == 1 or i in self.halves
@@ -143,9 +143,9 @@ class Vocabulary:
                     if token >= 0:
                         if start == 0:
                             break
-                        pair = path[start - 1], token
+                        pair = path[start - 1] << 32 | token
                         if pair not in known:
-                            known[pair] = self._stay(*pair, len(self.merges))
+                            known[pair] = self._stay(path[start - 1], token, len(self.merges))
                         if known[pair]:
                             break
                     start -= 1
@@ -229,7 +229,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids",
     def run(batches):
         vocab = vocabulary(tokenizer)
         for batch in batches:
-            for start, texts in chunks(batch.column(name).to_pylist(), CHUNK):
+            for start, texts in chunks(batch.column(name), CHUNK):
                 piece = batch.slice(start, len(texts))
                 columns = [pa.array(vocab.encode(texts), pa.binary()) if f == ids else piece.column(f)
                            for f in schema.names]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,11 +58,11 @@ def text_or_empty(df: DataFrame, text: str = "text") -> Column:
     return F.coalesce(df[text], F.lit(""))
 
 
-def chunks(texts: Iterable[str | None], limit: int) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive texts of about ``limit`` characters in all, with the place of the first."""
+def chunks(texts: pa.StringArray, limit: int) -> Iterator[tuple[int, list[str]]]:
+    """Consecutive texts (null: empty) of about ``limit`` characters in all, with the place of the first."""
     start, held, size = 0, [], 0
     for place, text in enumerate(texts):
-        held.append(text or "")
+        held.append(text.as_py() or "")
         size += len(held[-1])
         if size >= limit:
             yield start, held

@@ -20,8 +20,8 @@ from salestally.llm.bpe import byte_letters, default_tokenizer
 from salestally.llm.common import chunks, documents, fresh, map_batches, put, query
 
 # words whose count a task keeps; the store starts anew beyond it
-KEPT_WORDS = 1_000_000
-CHUNK = 4_000_000
+KEPT_WORDS = 300_000
+CHUNK = 1_000_000
 
 
 class Automaton:
@@ -117,7 +117,7 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", words: str =
     def run(batches):
         automaton = byte_automaton(tokenizer)
         for batch in batches:
-            for start, texts in chunks(batch.column(name).to_pylist(), CHUNK):
+            for start, texts in chunks(batch.column(name), CHUNK):
                 made = dict(zip((words, tokens), automaton.counts(texts)))
                 piece = batch.slice(start, len(texts))
                 columns = [pa.array(made[f], pa.int64()) if f in made else piece.column(f) for f in schema.names]
