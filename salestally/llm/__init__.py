@@ -1,6 +1,6 @@
 """Operators that prepare training text. Nothing else in the package imports this one."""
 
-from salestally.llm import bpe, mixing, quality, tokens  # noqa: F401
+from salestally.llm import bpe, mixing, pii, quality, rules, tokens  # noqa: F401
 from salestally.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
