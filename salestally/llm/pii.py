@@ -28,9 +28,9 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # candidates beyond the base kinds
-KEY = re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{16,40}(?![A-Za-z0-9])")
+KEY = re.compile(r"[A-Z0-9]{16,}")
 SECRET = re.compile(r"([A-Za-z_]{2,24})\x20?[=:]\x20?([\"']?)([A-Za-z0-9+/_.!@$%^&*-]{6,120})\2")
-LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
+LOCAL_PHONE = re.compile(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 
 # word lists of the gazetteer labelers
 SECRET_NAMES = frozenset(["password", "passwd", "pwd", "pass", "token", "secret", "key", "apikey", "api_key", "auth", "bearer",
@@ -83,6 +83,11 @@ def variety(text: str) -> float:
     return len(set(text)) / max(len(text), 1)
 
 
+def alone(text: str, *around: int) -> bool:
+    """Are there no letters or digits at these places?"""
+    return not any(0 <= i < len(text) and text[i].isalnum() for i in around)
+
+
 @dataclass(frozen=True)
 class Candidate:
     kind: str
@@ -98,11 +103,15 @@ LABELERS = ("shape", "name list", "context", "mixed characters", "plain word", "
 def candidates(text: str) -> list[Candidate]:
     """Spans beyond the base kinds, with votes and features."""
     found: list[tuple[str, int, int, str, str]] = []
-    found += [("key", m.start(), m.end(), m.group(), "") for m in KEY.finditer(text)]
+    found += [("key", m.start(), m.end(), m.group(), "") for m in KEY.finditer(text)
+              if len(m.group()) <= 40 and alone(text, m.start() - 1, m.end())]
     if "=" in text or ":" in text:
         found += [("secret", m.start(3), m.end(3), m.group(3), m.group(1)) for m in SECRET.finditer(text)]
     if "-" in text or "." in text or ")" in text:
-        found += [("phone", m.start(), m.end(), m.group(), "") for m in LOCAL_PHONE.finditer(text)]
+        for m in LOCAL_PHONE.finditer(text):
+            start = m.start() - (text[m.start() - 1:m.start()] == "(")
+            if text[start - 1:start] not in ("+", *"0123456789"):
+                found.append(("phone", start, m.end(), text[start:m.end()], ""))
     out = []
     for kind, start, end, span, name in found:
         n_digits, letters = len(digits(span)), sum(c.isalpha() for c in span)
