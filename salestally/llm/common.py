@@ -89,7 +89,7 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def arrow_schema(df: DataFrame) -> pa.Schema:
+def arrow_schema(schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(df.schema)
+    return to_arrow_schema(schema)

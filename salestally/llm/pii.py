@@ -285,8 +285,12 @@ def op6_pii(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = find(docs, fit(docs)).drop("text")
     base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return out.select(
         "doc_id",
-        *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE],
+        *map(count, BASE),
         F.sha2(shown(base), 256).alias("base_sha256"), shown("spans").alias("spans"))
