@@ -1,6 +1,6 @@
 """Operators that prepare training text. Nothing else in the package imports this one."""
 
-from salestally.llm import bpe, lm, mixing, pii, quality, rules, tokens, vectors  # noqa: F401
+from salestally.llm import bpe, jaccard, lm, mixing, pii, quality, repeats, rules, tokens, vectors  # noqa: F401
 from salestally.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
