@@ -143,8 +143,10 @@ def _signed(text: bytes) -> tuple[int, int]:
 
 
 def classes_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per row its key, ``hi`` and ``lo`` (the class) and the keys of its bands; all null without words."""
-    rows = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("body"))
+    """Per row its key, the hash of its text, ``hi`` and ``lo`` (the class) and the keys of its bands; the
+    last three are null without words."""
+    body = docs[text].cast("string")
+    rows = docs.select(docs[key].cast("long").alias("key"), F.xxhash64(body).alias("hash"), body.alias("body"))
 
     def run(batches):
         for batch in batches:
@@ -157,10 +159,10 @@ def classes_of(docs: DataFrame, key: str, text: str) -> DataFrame:
                     for i, keys in zip(full, band_keys(min_hashes([sets[i] for i in full]))):
                         names[i], bands[i] = _signed(xxhash.xxh3_128_digest(sets[i].tobytes())), keys
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").slice(start, len(texts)), *(pa.array(c, pa.int64()) for c in zip(*names)),
-                     pa.array(bands, pa.list_(pa.int64()))], ["key", "hi", "lo", "bands"])
+                    [batch.column("key").slice(start, len(texts)), batch.column("hash").slice(start, len(texts)), *(pa.array(c, pa.int64()) for c in zip(*names)),
+                     pa.array(bands, pa.list_(pa.int64()))], ["key", "hash", "hi", "lo", "bands"])
 
-    return map_batches(rows, run, "key long, hi long, lo long, bands array<long>")
+    return map_batches(rows, run, "key long, hash long, hi long, lo long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -218,14 +220,8 @@ def compare(rows: pa.Table) -> pa.Table:
                      "tied": pa.array(out["tied"], pa.list_(pa.int64()))})
 
 
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
-    """One row per row of ``docs``: ``key``, ``class_id`` (least key of all rows linked with it,
-    directly or by others) and ``n_links`` (other rows of Jaccard similarity 0.8 or more).
-
-    Rows without words (null, empty, blank) have no links and are classes of their own. Fewer
-    than five words are one shingle. Repeated rows link with each other. Rows with a null key
-    take part; the class of a group without any key is null. An empty table gives an empty table.
-    """
+def _joined(docs: DataFrame, key: str, text: str, tile: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their classes, and per class its component, the component's least key and its links."""
     made = cut(classes_of(docs, key, text), "jaccard-rows")
     known = made.where("hi is not null").groupBy("hi", "lo").agg(
         F.min("key").alias("least"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands"))
@@ -261,14 +257,46 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int
     linked = linked.join(n, F.col("node") == F.col("n_node"), "left").withColumn("component", F.coalesce("component", "node"))
     least = linked.groupBy("component").agg(F.min("least").alias("class_id")).withColumnRenamed("component", "l_component")
     verdict = linked.join(least, F.col("component") == F.col("l_component")).select(
-        F.col("hi").alias("v_hi"), F.col("lo").alias("v_lo"), "class_id",
+        F.col("hi").alias("v_hi"), F.col("lo").alias("v_lo"), F.col("component").alias("v_component"), "class_id",
         (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     verdict = cut(verdict, "jaccard-verdicts")
+    return made, verdict
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """One row per row of ``docs``: ``key``, ``class_id`` (least key of all rows linked with it,
+    directly or by others) and ``n_links`` (other rows of Jaccard similarity 0.8 or more).
+
+    Rows without words (null, empty, blank) have no links and are classes of their own. Fewer
+    than five words are one shingle. Repeated rows link with each other. Rows with a null key
+    take part; the class of a group without any key is null. An empty table gives an empty table.
+    """
+    made, verdict = _joined(docs, key, text, tile)
     with_words = made.where("hi is not null").join(verdict, (F.col("hi") == F.col("v_hi")) & (F.col("lo") == F.col("v_lo")))
     alone = made.where("hi is null").select("key", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return with_words.select("key", "class_id", "n_links").union(alone).withColumnRenamed("key", key)
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """``docs`` with one row of each group of linked rows: the one of the least key (null last).
+
+    Of rows that repeat one another one stays. Rows without words all stay.
+    """
+    made, verdict = _joined(docs, key, text, tile)
+    with_words = made.where("hi is not null").join(verdict, (F.col("hi") == F.col("v_hi")) & (F.col("lo") == F.col("v_lo")))
+    chosen = with_words.groupBy("v_component").agg(
+        F.min(F.struct(F.col("key").isNull().alias("none"), "key", "hash")).alias("one")).select("one.*")
+    alone = made.where("hi is null").select(F.col("key").isNull().alias("none"), "key", "hash").distinct()
+    kept = cut(chosen.union(alone).select(F.col("none").alias("k_none"), F.coalesce("key", F.lit(0)).alias("k_key"),
+                                          F.coalesce("hash", F.lit(0)).alias("k_hash")), "jaccard-kept")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].isNull().alias("none"),
+                       F.coalesce(docs[key].cast("long"), F.lit(0)).alias("key"),
+                       F.coalesce(F.xxhash64(docs[text].cast("string")), F.lit(0)).alias("hash"))
+    same = [F.col(c) == F.col("k_" + c) for c in ("none", "key", "hash")]
+    out = rows.join(kept, same, "left_semi").groupBy("none", "key", "hash").agg(F.first("row").alias("row"))
+    return out.select("row.*")
+
+
 OP7_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -145,7 +145,8 @@ def score(docs: DataFrame, text: str = "text", order: int = ORDER, block: int =
     out_schema = dealt.select("row", F.lit(0).cast("long").alias("lm_words"), F.lit(0.0).alias("lm_log_score"),
                               F.lit(0).cast("long").alias("lm_alone")).schema
     out_arrow = arrow_schema(out_schema)
-    asked = dealt.select("block", "body").groupBy("block").applyInArrow(ask, "part long, block long, grams binary, counts binary")
+    # the same columns as below, so that Spark deals out the texts once for both
+    asked = dealt.groupBy("block").applyInArrow(ask, "part long, block long, grams binary, counts binary")
     answered = asked.groupBy("part").applyInArrow(answer, "part long, block long, totals binary")
     out = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(sum_up, out_schema)
     return out.select("row.*", "lm_words", "lm_log_score", "lm_alone").drop("lm_row")
