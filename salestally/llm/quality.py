@@ -23,7 +23,8 @@ from salestally.session import cut
 # labelled rows that the model is fitted on at most; chosen by the hash of their ids
 MAX_ROWS = 500_000
 FEATURES = 256  # random features
-RIDGE = 1.0
+RIDGE = 0.1
+WIDTH = 1.5  # of the kernel, for statistics of standard deviation 1, times the root of their number
 BINS = 2048  # of raw scores, for the calibration
 SEED = 5
 
@@ -89,7 +90,7 @@ class Model:
         """Random features of the standardised statistics, and a constant."""
         rng = np.random.default_rng(SEED)
         k = x.shape[1]
-        w = rng.normal(size=(k, FEATURES)) / np.sqrt(k)
+        w = rng.normal(size=(k, FEATURES)) / np.sqrt(k) / WIDTH
         b = rng.uniform(0, 2 * np.pi, FEATURES)
         z = np.clip((x - self.centre) / self.spread, -6, 6)
         return np.hstack([np.sqrt(2 / FEATURES) * np.cos(z @ w + b), np.ones((len(x), 1))])
@@ -148,7 +149,7 @@ def _pool(n: np.ndarray, total: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """From rows (``fold``: long, ``statistics``, ``y``: 0 to 1). Folds of remainder 0 to 2 of 4 fit
     the scores, those of remainder 3 calibrate them. Beyond ``max_rows`` rows a share of them is
-    taken by fold hash."""
+    taken by fold hash. Where the calibration rows have one label only, scores stay as they are."""
     n = labelled.count()
     if n > max_rows:
         part = int(max_rows / n * 1_000_000)
@@ -176,8 +177,8 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     rows = (map_batches(labelled.where(apart), bins, "bin long, y double, raw double")
             .groupBy("bin").agg(F.count("y").alias("n"), F.sum("y").alias("y"), F.avg("raw").alias("raw"))
             .toArrow().sort_by("bin"))
-    if rows.num_rows:
-        n, y, raw = (rows.column(c).to_numpy() for c in ("n", "y", "raw"))
+    n, y, raw = (rows.column(c).to_numpy() for c in ("n", "y", "raw"))
+    if 0 < y.sum() < n.sum():  # of one label only, nothing can be learnt about the other
         model.knots = (raw, _pool(n.astype(float), y))
     return model
 
@@ -213,7 +214,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out, max_rows: int = MAX_R
     y = cut(y.withColumnRenamed("doc_id", "label_id"), "quality-labels")
     outside = F.coalesce(held_out, F.lit(False))
     train = (made.where(~outside).join(y, made["doc_id"] == y["label_id"])
-             .select(crc(F.concat(F.lit("fold "), F.col("doc_id").cast("string"))).alias("fold"), "statistics", "y"))
+             .select(F.xxhash64("doc_id").alias("fold"), "statistics", "y"))
     model = fit(train, max_rows)
     return score(made.withColumn("held_out", outside), model)
 
