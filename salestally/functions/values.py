@@ -15,10 +15,11 @@ def _number(text: Column, scale: Column | None = None) -> Column:
     """Number in plain text, null if the text is none.
 
     The pattern guards the cast: Spark would also read forms such as "1.0d".
+    A number beyond the type's range is none, scaled or not.
     """
     parsed = F.when(text.rlike(fv.NUMBER_PATTERN), text.try_cast(WIDE))
     if scale is not None:
-        parsed = parsed * scale
+        parsed = F.try_multiply(parsed, scale)
     return parsed
 
 

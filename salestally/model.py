@@ -163,7 +163,7 @@ class SalesModel:
         join of lines with orders is paid a single time.
         """
         wide = replace(p, store=None, state=None, brand=None, category=None,
-                       sub_category=None, product=None, week=None, channel=None)
+                       sub_category=None, product=None, week=None, year_week=None, channel=None)
         facts = self.line_sales(wide, compare).select(
             "order_key", "order_ts", "customer_key", "channel",
             "store_key", "product_key", "units", "sales",

@@ -120,6 +120,6 @@ def target_params(title: str, target: str, stores: dict[str, str] | None = None)
         "Top Categories by Sales": "category",
         "Top Sub Categories by Sales": "sub_category",
         "Top Products by Sales": "product",
-        "Weekly Trends": "week",
+        "Weekly Trends": "year_week",
     }.get(title)
     return base.override(**{dimension: target}) if dimension else base

@@ -33,8 +33,10 @@ def _text(c: Column) -> Column:
 
 
 def _melt(df: DataFrame, sheet: Column | str, identifier: Column, measures: dict[str, Column]) -> DataFrame:
-    """One row per measure that has a value."""
+    """One row per measure that has a value; without measures no rows."""
     sheet = F.lit(sheet) if isinstance(sheet, str) else sheet
+    if not measures:
+        return no_cells(df)
     wide = df.select(
         sheet.alias("sheet"), identifier.alias("identifier"),
         *[_text(c).alias(m) for m, c in measures.items()],
@@ -45,6 +47,10 @@ def _melt(df: DataFrame, sheet: Column | str, identifier: Column, measures: dict
     )
 
 
+def no_cells(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in CELL_COLUMNS))
+
+
 # --- roles of result columns ------------------------------------------------------
 
 # a column gets the first role one of whose words it contains
@@ -117,7 +123,7 @@ def weekday(df: DataFrame, sheet) -> DataFrame:
 def entity(name: str):
     """Formatter for (name, Sales) results."""
     def format_entity(df: DataFrame, sheet) -> DataFrame:
-        return _melt(df, sheet, _label(df, name), {ACTUAL: _c("Sales")})
+        return _melt(df, sheet, _label(df, name), {ACTUAL: _c("Sales")} if "Sales" in df.columns else {})
     return format_entity
 
 
@@ -125,7 +131,7 @@ def generic_sales(df: DataFrame, sheet) -> DataFrame:
     """Identifier, sales and target found by the words in their names."""
     roles = pick_columns(df.columns)
     if "identifier" not in roles or "value" not in roles:
-        return df.sparkSession.createDataFrame([], "sheet string, identifier string, metric string, value string")
+        return no_cells(df)
     measures = {ACTUAL: _c(roles["value"])}
     if "target" in roles:
         measures[TARGET] = _c(roles["target"])
@@ -134,6 +140,8 @@ def generic_sales(df: DataFrame, sheet) -> DataFrame:
 
 
 def metric_pairs(df: DataFrame, sheet) -> DataFrame:
+    if not {"Metric", "Excel Value"} <= set(df.columns):
+        return no_cells(df)
     metric = F.trim(F.coalesce(_c("Metric"), F.lit("")))
     known = (
         F.when(F.lower(metric) == "actual sales", F.lit(ACTUAL))
@@ -148,7 +156,9 @@ def metric_pairs(df: DataFrame, sheet) -> DataFrame:
 
 
 def generic(df: DataFrame, sheet) -> DataFrame:
-    """First column is the identifier, second the value; null is 0."""
+    """First column is the identifier, second the value; null is 0. One column gives no cells."""
+    if len(df.columns) < 2:
+        return no_cells(df)
     sheet = F.lit(sheet) if isinstance(sheet, str) else sheet
     first, second = df.columns[:2]
     return df.select(
@@ -291,10 +301,11 @@ def _own_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in ("sheet", "row_ord")]
 
 
-def sheet_wide(df: DataFrame, layout: str) -> DataFrame:
+def sheet_wide(df: DataFrame, layout: str | None) -> DataFrame:
     """Export rows of a layout with measures in columns, under the metrics' names.
 
-    ``df`` has the columns sheet and row_ord besides the sheet's own.
+    ``df`` has the columns sheet and row_ord besides the sheet's own. Without a
+    layout the measure is null.
     """
     own = _own_columns(df)
     low = {c.strip().lower(): c for c in own}
@@ -302,7 +313,8 @@ def sheet_wide(df: DataFrame, layout: str) -> DataFrame:
     name = _c(pick_header(own, "identifier", "identifier/label", "week"))
     return df.select(
         F.trim("sheet").alias("sheet"), "row_ord", identifier_or_unknown(name).alias("identifier"),
-        *[_text(_c(low[h])).alias(m) for m, h in _MEASURES[layout].items()],
+        *([_text(_c(low[h])).alias(m) for m, h in _MEASURES[layout].items()]
+          if layout else [F.lit(None).cast("string").alias(ACTUAL)]),
     )
 
 

@@ -16,8 +16,9 @@ from salestally import fixed_values as fv
 class Params:
     """Filters of a query. ``None`` means no restriction.
 
-    The first seven are the filters of a dashboard; the last five pin one
-    value of a dimension for a drill-through.
+    The first seven are the filters of a dashboard; the last six pin one
+    value of a dimension for a drill-through: ``week`` a week of the month,
+    ``year_week`` a week of the year.
     """
 
     year: int | None = None
@@ -32,6 +33,7 @@ class Params:
     sub_category: str | None = None
     product: str | None = None
     week: str | None = None
+    year_week: str | None = None
 
     def override(self, **extra) -> "Params":
         """These parameters with the given ones replaced; ``None`` keeps the base."""
@@ -60,8 +62,8 @@ class Params:
 
     def previous_year(self) -> "Params":
         """The same filters one year earlier."""
-        if self.year is None:
-            raise ValueError("a comparison with the previous year needs a year")
+        if self.year is None and self.fromdate is None and self.todate is None:
+            raise ValueError("a comparison with the previous year needs a year or dates")
 
         def back(day: date | None) -> date | None:
             if day is None:
@@ -71,7 +73,7 @@ class Params:
             return day.replace(year=day.year - 1)
 
         return replace(
-            self, year=self.year - 1, fromdate=back(self.fromdate), todate=back(self.todate)
+            self, year=None if self.year is None else self.year - 1, fromdate=back(self.fromdate), todate=back(self.todate)
         )
 
     def as_row(self) -> tuple:
@@ -100,11 +102,16 @@ def in_period(params: Params, day: Column) -> Column | None:
 
 
 def in_week(params: Params, day: Column) -> Column | None:
-    """Days of the pinned week of the month (Week1 = days 1 to 7)."""
-    if params.week is None:
-        return None
-    number = int(re.fullmatch(r"Week([1-5])", params.week).group(1))
-    return F.dayofmonth(day).between(7 * number - 6, 7 * number)
+    """Days of the pinned week of the month or year (Week1 = days 1 to 7)."""
+    tests = []
+    for label, last, place in ((params.week, 5, F.dayofmonth), (params.year_week, 53, F.dayofyear)):
+        if label is not None:
+            found = re.fullmatch(r"Week([0-9]{1,2})", label)
+            number = int(found.group(1)) if found else 0
+            if not 1 <= number <= last:
+                raise ValueError(f"no week from Week1 to Week{last}: {label}")
+            tests.append(place(day).between(7 * number - 6, 7 * number))
+    return all_of(tests)
 
 
 def all_of(tests: list[Column | None]) -> Column | None:

@@ -92,11 +92,13 @@ def mapped_cells(mapping: Mapping) -> DataFrame | None:
 
 
 def compare_mapped(wide: dict[str, DataFrame], sheets: DataFrame, registry: Registry,
-                   model: SalesModel, p: Params, **match) -> dict[str, DataFrame] | None:
+                   model: SalesModel, p: Params, long: DataFrame | None = None,
+                   **match) -> dict[str, DataFrame] | None:
     """Compare sheets with the queries their profile leads to.
 
-    wide: layout -> export rows in columns. Returns a wide report per layout,
-    or None when no sheet finds a query.
+    wide: layout -> export rows in columns; long: cells of the sheets whose
+    metrics are data. Returns a wide report per layout, and a long one under
+    "metric"; or None when no sheet finds a query.
     """
     if sheets.isEmpty():
         return None
@@ -105,10 +107,13 @@ def compare_mapped(wide: dict[str, DataFrame], sheets: DataFrame, registry: Regi
     if cells is None:
         return None
     db = cut(cells, "db-cells")
-    return {
+    out = {
         layout: reconcile.reconcile_wide(df, db, WIDE_LAYOUTS[layout])
         for layout, df in wide.items()
     }
+    if long is not None:
+        out["metric"] = reconcile.reconcile_long(long, db)
+    return out
 
 
 # --- sheets with a fixed query ----------------------------------------------------------------
@@ -123,7 +128,8 @@ def landing_values(registry: Registry, model: SalesModel, p: Params,
     parts = []
     for sheet, query in (table or fv.LANDING_SHEETS).items():
         try:
-            parts.append(reshape.landing_cells(registry.call(query, model, p, ordered=False), sheet.strip()))
+            cells = reshape.landing_cells(registry.call(query, model, p, ordered=False), sheet.strip())
+            parts.append(cut(cells, f"query-{query}"))  # written here, so that it fails here if it fails
         except Exception:  # one bad query must not end the run
             log.warning("query %s failed", query, exc_info=True)
             parts.append(model.spark.range(1).select(
@@ -210,9 +216,11 @@ def bundle_cells(registry: Registry, model: SalesModel, p: Params, queries: list
     parts = []
     for query in queries:
         try:
-            parts.append(reshape.drill_cells(registry.call(query, model, p, ordered=False), query))
+            parts.append(cut(reshape.drill_cells(registry.call(query, model, p, ordered=False), query), f"query-{query}"))
         except Exception:  # a missing query leaves its sheet without values
             log.warning("query %s failed", query, exc_info=True)
+    if not parts:
+        return reshape.no_cells(model.lines)
     short = [part.withColumn("sheet", sheet_title("sheet")) for part in parts]
     return reconcile.override_union(short)
 
@@ -227,7 +235,8 @@ def compare_bundle(export: DataFrame, registry: Registry, model: SalesModel, p:
 
 def compare_drill_through(export: DataFrame, wide: dict[str, DataFrame], sheets: DataFrame,
                           title: str, target: str, registry: Registry, model: SalesModel,
-                          p: Params | None = None, stores: dict[str, str] | None = None):
+                          p: Params | None = None, stores: dict[str, str] | None = None,
+                          long: DataFrame | None = None):
     """One drill-through: (method, result).
 
     A store target runs the one-store bundle; other targets are matched by
@@ -236,7 +245,7 @@ def compare_drill_through(export: DataFrame, wide: dict[str, DataFrame], sheets:
     p = p or drill.target_params(title, target, stores)
     if p.store is not None:
         return "bundle", compare_bundle(export, registry, model, p, fv.STORE_BUNDLE)
-    found = _mapped_or_none(wide, sheets, registry, model, p)
+    found = _mapped_or_none(wide, sheets, registry, model, p, long)
     if found is not None:
         return "dynamic_engine", found
     return "legacy", compare_bundle(export, registry, model, p, fv.DRILL_BUNDLE)
@@ -245,23 +254,38 @@ def compare_drill_through(export: DataFrame, wide: dict[str, DataFrame], sheets:
 def compare_folder(spark, folder: str, title: str, target: str, registry: Registry,
                    model: SalesModel, p: Params | None = None, pattern: str | None = None,
                    stores: dict[str, str] | None = None):
-    """Compare the sheet files of a folder as one drill-through."""
+    """Compare the sheet files of a folder as one drill-through; every sheet is reported."""
     sheets = exports.read_sheets(spark, folder, pattern)
+    if not sheets:
+        raise FileNotFoundError(f"no sheets in {folder}")
     cells = exports.cells_of(spark, sheets)
     shapes = exports.shapes_of_all(sheets)
     wide = wide_layouts(sheets)
-    return compare_drill_through(cells, wide, shapes, title, target, registry, model, p, stores)
+    long = metric_cells(sheets)
+    return compare_drill_through(cells, wide, shapes, title, target, registry, model, p, stores, long)
 
 
 # export layout -> layout of the wide report
 WIDE_OF = {"target": "target", "year": "year", "entity": "standard", "employee": "standard"}
+METRIC_LAYOUTS = ("metric", "week_metric")
 
 
 def wide_layouts(sheets: dict[tuple, DataFrame]) -> dict[str, DataFrame]:
-    """Sheets as read, grouped by the layout of their wide report."""
+    """Sheets as read, grouped by the layout of their wide report.
+
+    A sheet of unknown headers is a standard one without a measure; sheets
+    whose metrics are data have no wide report (see ``metric_cells``).
+    """
     groups: dict[str, list[DataFrame]] = {}
     for header, df in sheets.items():
         layout = reshape.layout_of(list(header))
-        if layout in WIDE_OF:
-            groups.setdefault(WIDE_OF[layout], []).append(reshape.sheet_wide(df, layout))
+        if layout not in METRIC_LAYOUTS:
+            groups.setdefault(WIDE_OF.get(layout, "standard"), []).append(reshape.sheet_wide(df, layout))
     return {kind: reshape.union_all(parts) for kind, parts in groups.items()}
+
+
+def metric_cells(sheets: dict[tuple, DataFrame]) -> DataFrame | None:
+    """Cells of the sheets whose metrics are data, if there are any."""
+    found = [(df, reshape.layout_of(list(header))) for header, df in sheets.items()]
+    parts = [reshape.sheet_cells(df, layout) for df, layout in found if layout in METRIC_LAYOUTS]
+    return reshape.union_all(parts) if parts else None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -45,13 +46,15 @@ def build_session(
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only when the cluster names none (a local test) is a temporary folder
-    made, and remembered in the session for the calls that follow.
+    A local session that names none gets a temporary folder, remembered for the
+    calls that follow; on a cluster, where such a folder is not shared, it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("salestally.work.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="salestally-")
         spark.conf.set("salestally.work.dir", folder)
     return folder

@@ -143,6 +143,8 @@ def read_cells(spark: SparkSession, folder: str, pattern: str | None = None,
 
 def shapes_of_all(sheets: dict[tuple, DataFrame]) -> DataFrame:
     """One row per sheet: sheet, headers, data_volume, n_columns."""
+    if not sheets:
+        return SparkSession.active().createDataFrame([], "sheet string, headers array<string>, data_volume bigint, n_columns int")
     return union_all([shapes_of(df, list(header)) for header, df in sheets.items()])
 
 
@@ -195,7 +197,10 @@ def read_tagged(spark: SparkSession, paths: list[str] | str, fmt: str = "csv") -
     ``paths`` is a folder, or files.
     """
     if fmt != "csv":
-        return spark.read.format(fmt).load(paths).withColumn("sheet", file_sheet())
+        reader = spark.read.format(fmt)
+        if fmt in ("parquet", "orc"):
+            reader = reader.option("mergeSchema", True)
+        return reader.load(paths).withColumn("sheet", file_sheet())
     if isinstance(paths, str):
         groups = header_groups(spark, paths)
     else:

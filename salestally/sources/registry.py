@@ -202,11 +202,11 @@ def kpi_values(registry: Registry, model: SalesModel, p: Params,
             result = registry.call(name, model, p)
             first = F.col(f"`{result.columns[0]}`").cast("string")
             # a query without rows still has to give one row
-            part = result.agg(F.first(first).alias("v"), F.count(F.lit(1)).alias("n")).select(
+            part = cut(result.agg(F.first(first).alias("v"), F.count(F.lit(1)).alias("n")).select(
                 F.lit(label).alias("kpi_name"),
                 F.when(F.col("n") == 0, F.lit(fv.NO_RESULT))
                 .otherwise(F.trim(F.coalesce("v", F.lit(fv.NULL_TEXT)))).alias("value"),
-            )
+            ), f"kpi-{name}")
         except UnknownQuery:
             part = _constant_kpi(spark, label, "SP Not Found")
         except Exception:

@@ -12,7 +12,6 @@ from salestally import fixed_values as fv
 from salestally.functions.names import identifier_or_unknown
 from salestally.operators import reconcile, report
 from salestally.operators.reshape import ACTUAL
-from salestally.session import scratch
 from salestally.sources.exports import CELL_SCHEMA, file_sheet, inside
 
 
@@ -42,9 +41,12 @@ def stream_sheets(spark: SparkSession, folder: str,
 
 
 def reconcile_arrivals(cells: DataFrame, db: DataFrame, out: str,
-                       checkpoint: str | None = None, **options) -> StreamingQuery:
+                       checkpoint: str, **options) -> StreamingQuery:
     """Compare each new file once and write rows and counts per batch.
 
+    ``checkpoint`` is the folder that remembers which files were read; the
+    same one continues where the last run ended.
+
     A batch goes into folders of its own number and overwrites them, so a
     batch that is run again after a failure leaves the same result. The
     database side is a written table, read anew by every batch.
@@ -59,7 +61,7 @@ def reconcile_arrivals(cells: DataFrame, db: DataFrame, out: str,
 
     return (
         cells.writeStream.foreachBatch(each)
-        .option("checkpointLocation", checkpoint or scratch(cells.sparkSession, "arrivals"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
