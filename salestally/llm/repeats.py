@@ -13,7 +13,6 @@ length up to the whole string, and equal names are compared byte by byte.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -112,7 +111,6 @@ def covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-
 def _each(rows: DataFrame, make, schema) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -246,13 +244,12 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
     if not per.where(F.col("kinds") > bucket).isEmpty():
         found = found.union(_large(dealt.where(F.col("kinds") > bucket).select("bucket", "context", "into", "piece")))
     found = cut(found, "repeats-found")
-    # surroundings seen twice are repeated as a whole
-    twice = counted.where("n > 1").join(per, F.col("bucket") == F.col("k_bucket")).select(
-        F.col("bucket").alias("f_bucket"), F.col("context").alias("f_context"))
-    twice = twice.withColumn("offsets", F.lit(None).cast("array<int>"))
+    # surroundings seen twice are repeated as a whole; the gathered runs hold every run of their buckets
+    each = joined.select("row", F.explode("runs").alias("r")).select("row", "r.*")
+    twice = each.groupBy(F.col("bucket").alias("f_bucket"), F.col("context").alias("f_context")).agg(
+        F.count(F.lit(1)).alias("n")).where("n > 1").select("f_bucket", "f_context", F.lit(None).cast("array<int>").alias("offsets"))
     verdict = cut(found.union(twice).groupBy("f_bucket", "f_context").agg(
         F.max(F.col("offsets").isNull()).alias("whole"), F.max("offsets").alias("offsets")), "repeats-verdicts")
-    each = joined.select("row", F.explode("runs").alias("r")).select("row", "r.*")
     each = each.join(verdict, (F.col("bucket") == F.col("f_bucket")) & (F.col("context") == F.col("f_context")))
     gathered = each.groupBy(F.col("row").alias("g_row")).agg(
         F.collect_list(F.struct("begins", "runs", "into", "whole", "offsets")).alias("hits"))
