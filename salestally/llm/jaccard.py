@@ -29,7 +29,7 @@ SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
 BANDS, ROWS = 36, 5  # a pair at 0.8 agrees on no band once in 1.6 million
 STEP = 20  # MinHash values compared at a time
-TOLERANCE = 1e-6  # drop a pair if the threshold is less probable than this
+TOLERANCE = 1e-9  # drop a pair if the threshold is less probable than this
 TILE = 1024  # classes on a side
 CHUNK = 4_000_000
 
