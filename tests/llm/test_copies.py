@@ -61,7 +61,7 @@ def test_jaccard_join(spark, odd, tile):
     kept = jaccard.one_of_each(odd, tile=tile)
     assert kept.columns == odd.columns
     want = Counter()
-    for (key, group, _), row in {x[0]: x for x in zip(plain_join([(r[0], r[1]) for r in odd_rows()]), odd_rows())}.items():
+    for (key, group, _), row in {x[0]: x for x in zip(plain_join([(r[0], r[1]) for r in odd_rows()]), odd_rows())}.values():
         if shingles(row[1]) and key == group or not shingles(row[1]):
             want[(key, row[1])] = 1
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
