@@ -24,21 +24,23 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salestally.llm.common import documents, map_batches, query
 from salestally.session import cut
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 SLIP = 31  # a run whose hash this divides loses a letter
 LEAST_LENGTH, LEAST_COUNT = 7, 2
+# runs that are long enough for a word; a letter less makes none longer
+RUN = re.compile("[A-Za-zÀ-ÿ]{%d,}" % LEAST_LENGTH)
 FORM = 10  # so many times more frequent is the form of a word
 HELD = 200_000  # words that a task counts before it hands them on
 # classes of elements: for two differences (words of one length), for one
-CLASSES_2, CLASSES_1 = 7, 4
-GROUP = 64  # words of a signature that are compared with each other
+CLASSES_2, CLASSES_1 = 5, 3
+GROUP = 32  # words of a signature that are compared with each other
 
 COUNT_SCHEMA = "word string, n long"
 
@@ -81,8 +83,7 @@ def word_counts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                 before = zlib.crc32(f"{key.as_py()}:".encode())
                 runs: Counter[str] = Counter()
                 for found, n in Counter(RUN.findall(body.as_py() or "")).items():
-                    if len(found) >= LEAST_LENGTH:  # a shorter run gives no word
-                        runs[lowered(found)] += n
+                    runs[lowered(found)] += n
                 for found, n in runs.items():
                     word = slipped(found, before)
                     if len(word) >= LEAST_LENGTH:
@@ -98,139 +99,244 @@ def word_counts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 # --- signatures ---------------------------------------------------------------------------
 
-WRAP = (1 << 64) - 1
+# multipliers that spread a number over all its bits (those of a known generator)
+SPREAD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def mixed(x: int) -> int:
-    """A number of 64 bits spread over all of them."""
-    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & WRAP
-    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & WRAP
-    return x ^ (x >> 31)
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits spread over all of them."""
+    x = (x ^ (x >> np.uint64(30))) * SPREAD[0]
+    x = (x ^ (x >> np.uint64(27))) * SPREAD[1]
+    return x ^ (x >> np.uint64(31))
 
 
-class Signer:
-    """Signatures of words: for each choice of ``n - k`` of ``n`` classes the sum of its elements' hashes."""
+def letters(words: list[str], size: int) -> np.ndarray:
+    """Code points of words of one length, a row each."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), size).astype(np.uint64)
 
-    def __init__(self, classes: int, differences: int):
-        self.n = classes
-        self.choices = [(mixed(1 + i), chosen) for i, chosen in
-                        enumerate(combinations(range(classes), classes - differences))]
-        self.known: dict[tuple[str, int], tuple[int, int]] = {}
 
-    def element(self, letter: str, nth: int) -> tuple[int, int]:
-        """Class and hash of an element."""
-        found = self.known.get((letter, nth))
-        if found is None:
-            h = mixed(ord(letter) << 24 | nth)
-            found = (mixed(h + self.n) % self.n, h)
-            if len(self.known) < 100_000:
-                self.known[letter, nth] = found
-        return found
-
-    def sign(self, word: str, salt: int) -> list[int]:
-        sums, seen = [0] * self.n, {}
-        for letter in word:
-            nth = seen.get(letter, 0)
-            seen[letter] = nth + 1
-            part, h = self.element(letter, nth)
-            sums[part] += h
-        return [_signed(mixed((sum(sums[c] for c in chosen) ^ number) + salt & WRAP)) for number, chosen in self.choices]
-
-
-def _signed(x: int) -> int:
-    x &= WRAP
-    return x - (1 << 64) if x >> 63 else x
+def multiset_signatures(codes: np.ndarray, classes: int, differences: int, salt: int) -> np.ndarray:
+    """For each choice of ``classes - differences`` classes the sum of its elements' hashes, a column each."""
+    codes = np.sort(codes, axis=1)
+    place = np.arange(codes.shape[1], dtype=np.uint64)
+    begins = np.ones(codes.shape, bool)
+    begins[:, 1:] = codes[:, 1:] != codes[:, :-1]
+    nth = place - np.maximum.accumulate(np.where(begins, place, np.uint64(0)), axis=1)
+    element = mixed(codes << np.uint64(32) | nth)
+    part = mixed(element + np.uint64(classes)) % np.uint64(classes)
+    sums = np.stack([np.where(part == np.uint64(c), element, np.uint64(0)).sum(axis=1, dtype=np.uint64) for c in range(classes)], axis=1)
+    out = []
+    for number, chosen in enumerate(combinations(range(classes), classes - differences)):
+        out.append(mixed(sums[:, list(chosen)].sum(axis=1, dtype=np.uint64) + mixed(np.uint64([number << 40 | salt]))))
+    return np.stack(out, axis=1)
 
 
 STEP = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
-UNSTEP = pow(STEP, -1, 1 << 64)
+UNSTEP = np.uint64(pow(STEP, -1, 1 << 64))
 
 
-def without_each(word: str) -> tuple[np.ndarray, int]:
-    """Hashes of the word without its first, second, ... letter, and of the whole word."""
-    codes = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
-    powers = np.cumprod(np.r_[np.uint64(1), np.full(len(codes) - 1, STEP, np.uint64)])
-    sums = np.r_[np.uint64(0), np.cumsum(codes * powers)]
-    return sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(UNSTEP), int(sums[-1])
+def without_each(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words of one length without their first, second, ... letter, and of the whole words."""
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(codes.shape[1] - 1, STEP, np.uint64)])
+    sums = np.cumsum((codes + np.uint64(1)) * powers, axis=1)
+    before = np.concatenate([np.zeros((len(codes), 1), np.uint64), sums[:, :-1]], axis=1)
+    return before + (sums[:, -1:] - sums) * UNSTEP, sums[:, -1:]
 
 
 # kinds of a signature: of words of one length; of the shorter and the longer word of a pair
 SAME, SHORT, LONG = 0, 1, 2
-SIGNED_SCHEMA = "sign long, kind int, word string, n long"
+SIGNED_SCHEMA = "sign long, kind byte, word string, n long"
 
 
-def _signed_rows(words: DataFrame, sign) -> DataFrame:
-    """One row for each (kind, signature) that ``sign(word)`` gives."""
+def _signed_rows(words: DataFrame, sign, kinds: tuple[int, ...]) -> DataFrame:
+    """One row for each signature that ``sign(codes, kind)`` gives to words of one length."""
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                piece = batch.slice(start, 2000)
-                signs, kinds, places = [], [], []
-                for place, word in enumerate(piece.column("word").to_pylist()):
-                    for kind, found in sign(word):
-                        signs.extend(found)
-                        kinds.extend([kind] * len(found))
-                        places.extend([place] * len(found))
-                own = piece.take(pa.array(places, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signs, pa.int64()), pa.array(kinds, pa.int32()), own.column("word"), own.column("n")],
-                    ["sign", "kind", "word", "n"])
+            held = batch.column("word").to_pylist()
+            sizes = np.fromiter(map(len, held), np.int64, len(held))
+            for size in np.unique(sizes).tolist():
+                places = np.flatnonzero(sizes == size)
+                step = max(1, 40_000 // size)
+                for start in range(0, len(places), step):
+                    some = places[start:start + step]
+                    codes = letters([held[i] for i in some.tolist()], size)
+                    for kind in kinds:
+                        signs = sign(codes, kind)
+                        own = batch.take(pa.array(np.repeat(some, signs.shape[1])))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(signs.ravel().view(np.int64)), pa.array(np.full(signs.size, kind, np.int8)), own.column("word"), own.column("n")],
+                            ["sign", "kind", "word", "n"])
 
     return map_batches(words, run, SIGNED_SCHEMA)
 
 
 def signatures(words: DataFrame) -> DataFrame:
     """Rows ``sign``, ``kind``, ``word``, ``n``. The length is part of a signature: that of the shorter word of a pair."""
-    two, one = Signer(CLASSES_2, 2), Signer(CLASSES_1, 1)
-
-    def sign(word: str):
-        size = len(word)
-        return [(SAME, two.sign(word, 2 * size)), (SHORT, one.sign(word, 2 * size + 1)), (LONG, one.sign(word, 2 * size - 1))]
+    def sign(codes: np.ndarray, kind: int) -> np.ndarray:
+        size = codes.shape[1]
+        if kind == SAME:
+            return multiset_signatures(codes, CLASSES_2, 2, 2 * size)
+        return multiset_signatures(codes, CLASSES_1, 1, 2 * size + (1 if kind == SHORT else -1))
 
-    return _signed_rows(words, sign)
+    return _signed_rows(words, sign, (SAME, SHORT, LONG))
 
 
-def place_signatures(words: DataFrame, kind: int) -> DataFrame:
+def place_signatures(words: DataFrame, same: bool) -> DataFrame:
     """Signatures under which only words meet that differ by one letter: for words of one length those
     without the letter at each place, else the whole of the shorter and the longer without a letter."""
-    def sign(word: str):
-        holes, whole = without_each(word)
-        size = len(word)
+    def sign(codes: np.ndarray, kind: int) -> np.ndarray:
+        holes, whole = without_each(codes)
+        size = codes.shape[1]
         if kind == SAME:
-            return [(SAME, [_signed(mixed(int(h) ^ mixed((size << 32) + i))) for i, h in enumerate(holes)])]
-        return [(SHORT, [_signed(mixed(whole + size & WRAP))]),
-                (LONG, list({_signed(mixed(int(h) + size - 1 & WRAP)) for h in holes}))]
+            return mixed(holes ^ mixed((np.uint64(size) << np.uint64(32)) + np.arange(size, dtype=np.uint64)))
+        if kind == SHORT:
+            return mixed(whole + np.uint64(size))
+        return mixed(holes + np.uint64(size - 1))
 
-    return _signed_rows(words, sign)
+    return _signed_rows(words, sign, (SAME,) if same else (SHORT, LONG))
 
 
 # --- pairs ------------------------------------------------------------------------------------
 
+MEASURED = 48  # letters of words that are compared side by side; longer ones are compared one by one
+MET_SCHEMA = "a string, a_n long, b string, b_n long, kind byte"
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Do words differ by one letter, replaced or put in?"""
+    if len(a) > len(b):
+        a, b = b, a
+    if a == b or len(b) - len(a) > 1:
+        return False
+    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[at + (len(a) == len(b)):] == b[at + 1:]
+
+
+def near(words: list[str], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs of places hold words at an edit distance of one."""
+    out = np.zeros(len(left), bool)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    short = (sizes[left] < MEASURED) & (sizes[right] < MEASURED)
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = one_edit(words[left[i]], words[right[i]])
+    table = np.array([w if len(w) < MEASURED else "" for w in words], f"<U{MEASURED}").view("<u4").reshape(len(words), MEASURED)
+    where = np.arange(MEASURED - 1)
+    todo = np.flatnonzero(short)
+    for start in range(0, len(todo), 50_000):
+        some = todo[start:start + 50_000]
+        swap = sizes[left[some]] > sizes[right[some]]
+        a, b = np.where(swap, right[some], left[some]), np.where(swap, left[some], right[some])
+        x, y = table[a], table[b]
+        differ = x != y
+        count, first = differ.sum(axis=1), differ.argmax(axis=1)
+        more = sizes[b] - sizes[a]
+        # behind the first difference the longer word goes on one letter later
+        late = ((x[:, :-1] != y[:, 1:]) & (where >= first[:, None])).any(axis=1)
+        out[some] = np.where(more == 0, count == 1, (more == 1) & ~late)
+    return out
+
+
+def met(signed: DataFrame, most: int | None) -> DataFrame:
+    """Verified pairs among words that share a signature, ``a`` and ``b`` with their counts; words of a
+    signature that more than ``most`` share are given back as ``a`` with their ``kind``, without ``b``.
+
+    Rows are dealt by signature and sorted; a task goes through them and holds one signature's words at a
+    time, at most ``most`` of them. Under a place signature (no ``most``) their number is bounded by the alphabet.
+    """
+    dealt = signed.repartition("sign").sortWithinPartitions("sign", "kind")
+
+    def pairs(rows: pa.RecordBatch, begins: np.ndarray):
+        """Pairs inside groups that begin at the given places."""
+        kind = rows.column("kind").to_numpy()
+        n = len(kind)
+        group = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, n]))
+        ends = np.r_[begins[1:], n][group]
+        # the first place behind the shorter words of a group
+        shorts = np.bincount(group, kind == SHORT, len(begins)).astype(np.int64)
+        from_ = np.where(kind == SAME, np.arange(n) + 1, (begins + shorts)[group])
+        count = np.where(kind == LONG, 0, ends - from_)
+        left = np.repeat(np.arange(n), count)
+        right = np.repeat(from_ - (np.cumsum(count) - count), count) + np.arange(len(left))
+        if len(left):
+            words = rows.column("word").to_pylist()
+            for start in range(0, len(left), 500_000):
+                part = slice(start, start + 500_000)
+                found = near(words, left[part], right[part])
+                a, b = rows.take(pa.array(left[part][found])), rows.take(pa.array(right[part][found]))
+                # one way round for a pair that meets under several signatures
+                first = np.array([words[i] < words[j] for i, j in zip(left[part][found].tolist(), right[part][found].tolist())], bool)
+                first = pa.array(first)
+                pick = lambda c, x, y: pc.if_else(first, x.column(c), y.column(c))
+                if a.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pick("word", a, b), pick("n", a, b), pick("word", b, a), pick("n", b, a), pa.nulls(a.num_rows, pa.int8())],
+                        ["a", "a_n", "b", "b_n", "kind"])
+
+    def many(rows: pa.RecordBatch) -> pa.RecordBatch:
+        n = rows.num_rows
+        return pa.RecordBatch.from_arrays([rows.column("word"), rows.column("n"), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), rows.column("kind")],
+                                          ["a", "a_n", "b", "b_n", "kind"])
 
-def _meet(signed: DataFrame) -> DataFrame:
-    """Verified pairs among words that share a signature: ``a``, ``b`` and their counts."""
-    left = signed.where(F.col("kind") != LONG).select("sign", F.col("kind").alias("a_kind"), F.col("word").alias("a"), F.col("n").alias("a_n"))
-    right = signed.where(F.col("kind") != SHORT).select(F.col("sign").alias("b_sign"), F.col("kind").alias("b_kind"), F.col("word").alias("b"),
-                                                        F.col("n").alias("b_n"))
-    kinds = F.when(F.col("a_kind") == SAME, (F.col("b_kind") == SAME) & (F.col("a") < F.col("b"))).otherwise(F.col("b_kind") == LONG)
-    near = F.levenshtein("a", "b", 1) == 1
-    return left.join(right, (F.col("sign") == F.col("b_sign")) & kinds & near).select("a", "a_n", "b", "b_n")
+    def run(batches):
+        held, full = None, None  # the last group so far; the signature whose words are given back as they come
+        for batch in batches:
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            yield from step(rows, full, last=False)
+            held, full = tail(rows, full)
+        if held is not None:
+            yield from step(held, full, last=True)
+
+    def key(rows: pa.RecordBatch) -> np.ndarray:
+        return rows.column("sign").to_numpy() ^ (rows.column("kind").to_numpy() == SAME)
+
+    def groups(rows: pa.RecordBatch) -> np.ndarray:
+        signs = key(rows)
+        return np.r_[0, np.flatnonzero(signs[1:] != signs[:-1]) + 1]
+
+    def tail(rows: pa.RecordBatch, full):
+        """The last group, and whether it is given back; none of what was given back is kept but one row."""
+        start = int(groups(rows)[-1])
+        sign = key(rows)[start]
+        if most and (full == sign or rows.num_rows - start > most):
+            return rows.slice(rows.num_rows - 1), sign
+        return rows.slice(start), None
+
+    def step(rows: pa.RecordBatch, full, last: bool):
+        begins, signs = groups(rows), key(rows)
+        sizes = np.diff(np.r_[begins, rows.num_rows])
+        whole = np.ones(len(begins), bool)
+        if not last:
+            whole[-1] = False  # goes on in the next batch
+        big = np.zeros(len(begins), bool)
+        if most:
+            big = sizes > most
+            if full is not None and signs[0] == full:
+                big[0] = True
+        group = np.repeat(np.arange(len(begins)), sizes)
+        out = big[group]
+        if full is not None and signs[0] == full:
+            out[0] = False  # was given back before
+        if out.any():
+            yield many(rows.filter(pa.array(out)))
+        small = whole & ~big & (sizes > 1)
+        if small.any():
+            some = rows.filter(pa.array(small[group]))
+            counts = sizes[small]
+            yield from pairs(some, np.cumsum(counts) - counts)
+
+    return map_batches(dealt, run, MET_SCHEMA)
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """All pairs of words at an edit distance of one, once each: ``a``, ``a_n``, ``b``, ``b_n``."""
-    signed = cut(signatures(words), "signatures")
-    many = signed.groupBy("sign").count().where(F.col("count") > GROUP).select(F.col("sign").alias("many"))
-    many = cut(many, "frequent-signatures")
-    few = signed.join(many, F.col("sign") == F.col("many"), "left_anti")
+    found = cut(met(signatures(words), GROUP), "met-words")
     # a word under a frequent signature is signed by its places, once for its meetings with words of its
     # length and once for the others; a pair meets there, for the signature is frequent for both
-    hot = cut(signed.join(many, F.col("sign") == F.col("many"), "left_semi").select("word", "n", (F.col("kind") == SAME).alias("same"))
-              .distinct(), "frequent-words")
-    pairs = _meet(few)
-    for same, kind in [(True, SAME), (False, SHORT)]:
-        pairs = pairs.union(_meet(place_signatures(hot.where(F.col("same") == same).select("word", "n"), kind)))
-    return pairs.dropDuplicates(["a", "b"])
+    frequent = found.where("b is null").select(F.col("a").alias("word"), F.col("a_n").alias("n"), (F.col("kind") == SAME).alias("same")).distinct()
+    frequent = cut(frequent, "frequent-words")
+    by_place = place_signatures(frequent.where("same"), True).union(place_signatures(frequent.where("not same"), False))
+    pairs = found.where("b is not null").union(met(by_place, None))
+    return pairs.select("a", "a_n", "b", "b_n").dropDuplicates(["a", "b"])
 
 
 def variants(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
