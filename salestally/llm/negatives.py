@@ -205,9 +205,13 @@ def bundles(batches, most: int):
 
 
 def packed(rows: DataFrame, most: int, extra: str = "", more=None) -> DataFrame:
-    """Rows in the order of their directions and angles, packed; ``more(table)`` gives the columns ``extra``."""
+    """Rows in the order of their directions and angles, packed; ``more(table)`` gives the columns ``extra``.
+
+    A range holds some four packs, whatever the partitions of ``rows``, a written table.
+    """
     order = ["size", "home", "angle", "vec_id"]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges = max(1, -(-rows.count() // (4 * most)))
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     schema = PACKED + extra
     arrow = _arrow(schema)
 
@@ -345,7 +349,8 @@ def meetings(tiles: DataFrame, blocks: DataFrame) -> DataFrame:
     low, high = bound_columns()
     pairs = asked.join(have, (F.col("a_size") == F.col("size")) & (F.col("salt") == F.col("b_salt")))
     pairs = cut(pairs.where((high >= F.col("floor")) & (low <= F.col("ceiling"))).select(F.col("a_part").alias("t"), F.col("part").alias("b")), "meetings")
-    dealt = pairs.repartition(max(1, min(pairs.count(), 10_000)))
+    # a tile's pairs one after the other in a task
+    dealt = pairs.repartition(max(1, min(pairs.count(), 10_000))).sortWithinPartitions("t")
     both = dealt.join(blocks, F.col("b") == F.col("part")).drop("part", "low", "high", "least", "most", "any_wide")
     content = ["n", "size", "ids", "labels", "norms", "wide", "angles", "short", "q", "raw"]
     anchors = tiles.select(F.col("part").alias("a_part"), *[F.col(c).alias("a_" + c) for c in content], "sought")
@@ -385,17 +390,45 @@ def part_of(block: Pack, chosen: np.ndarray) -> Pack:
     return Pack(block.ids[chosen], block.labels[chosen], block.norms[chosen], block.wide[chosen], block.angles[chosen], block.q[chosen], raw)
 
 
-def in_scores(meeting: DataFrame, find, schema: str) -> DataFrame:
-    """``find(tile, block, sought)`` gives the rows of each meeting."""
+HELD = 200_000  # rows that a task gathers before it keeps the best of them
+
+
+def best(rows: list[tuple], most: int) -> list[tuple]:
+    """Of rows that end in an id and a score the ``most`` best of each group, by score and smaller id."""
+    rows.sort(key=lambda r: (*r[:-2], -r[-1], r[-2]))
+    out, group, n = [], None, 0
+    for row in rows:
+        if row[:-2] != group:
+            group, n = row[:-2], 0
+        n += 1
+        if n <= most:
+            out.append(row)
+    return out
+
+
+def in_scores(meeting: DataFrame, find, most: int, schema: str) -> DataFrame:
+    """``find(tile, block, sought)`` gives the rows of each meeting; a task keeps the ``most`` best of a group
+    over the meetings of a tile that it holds."""
     arrow = _arrow(schema)
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
     def run(batches):
+        held: list[tuple] = []
+        tile = None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                found = find(Pack.of(row, "a_"), Pack.of(row), np.frombuffer(row["sought"], "<i8").reshape(row["a_n"], -1))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), arrow)], schema=arrow)
+                if tile != row["t"] or len(held) > HELD:
+                    if held := best(held, most):
+                        if tile != row["t"] or len(held) > HELD // 2:
+                            yield batch_of(held)
+                            held = []
+                    tile = row["t"]
+                held += find(Pack.of(row, "a_"), Pack.of(row), np.frombuffer(row["sought"], "<i8").reshape(row["a_n"], -1))
+        if held := best(held, most):
+            yield batch_of(held)
 
     return map_batches(meeting, run, schema)
 
@@ -432,7 +465,7 @@ def positives(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
         return out
 
     tiles = cut(packed(anchors, TILE, ", sought binary, floor double, ceiling double", sought), "anchor-tiles")
-    found = in_scores(meetings(tiles, blocks), find, "anchor long, other long, score long")
+    found = in_scores(meetings(tiles, blocks), find, POSITIVES, "anchor long, other long, score long")
     return first(found, POSITIVES, "anchor").select("anchor", "other", "score", "rank")
 
 
@@ -447,6 +480,7 @@ def negatives(blocks: DataFrame, anchors: DataFrame, found: DataFrame) -> DataFr
     scores = found.groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("rank", "score"))).alias("scores"))
     rows = anchors.drop("seed").join(scores, F.col("vec_id") == F.col("anchor")).withColumn(
         "scores", F.transform(F.sequence(F.lit(1), F.lit(POSITIVES)), lambda i: F.coalesce(F.col("scores")[i], F.lit(none)))).drop("anchor")
+    rows = cut(rows, "anchors-with-positives")
 
     def limits(scores: np.ndarray) -> list[list[tuple[int, int] | None]]:
         out = []
@@ -480,7 +514,7 @@ def negatives(blocks: DataFrame, anchors: DataFrame, found: DataFrame) -> DataFr
         return out
 
     tiles = cut(packed(rows, TILE, ", sought binary, floor double, ceiling double", sought), "anchor-tiles")
-    near = in_scores(meetings(tiles, blocks), find, "anchor long, nth int, other long, score long")
+    near = in_scores(meetings(tiles, blocks), find, NEGATIVES, "anchor long, nth int, other long, score long")
     return first(near, NEGATIVES, "anchor", "nth")
 
 
