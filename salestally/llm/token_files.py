@@ -16,6 +16,7 @@ another name, and what the lost one left is never read.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +38,13 @@ FRAME, FILE = 1 << 20, 256 << 20
 # documents of a file
 FILE_DOCUMENTS = 1_000_000
 # characters of text that are encoded together, and of the pieces that a worker remembers
-CHUNK, KEPT = 4_000_000, 16_000_000
+CHUNK, KEPT = 4_000_000, 8_000_000
+# stands between pieces that are encoded together
+MARK = "`"
+# characters that the vocabulary's normal form may change otherwise than by lower case
+COMPOSED = re.compile("[^\x00-\u012f\u0131-\u024f]")
+# a letter, symbols, a blank
+TAIL = r"([a-z])([!-&(-/:-@\[-^{-~]+)([ \n]|\z)"
 # bytes of ids that a reader hands on together
 HANDED = 8 << 20
 
@@ -50,10 +58,11 @@ ENTRY, FOOTER, HEADER = struct.Struct("<III"), struct.Struct("<IBI"), struct.Str
 
 
 class Encoder:
-    """The tokenizers library, asked once for every distinct piece between blanks.
+    """The tokenizers library, asked once for every distinct piece of text.
 
-    The vocabulary's tokens never cross white space, so the ids of a text are those of its
-    pieces in order. Pieces are remembered up to ``KEPT`` characters and then forgotten.
+    The vocabulary's tokens never cross white space, nor do they go on from a letter into a
+    symbol, so a text's ids are those of its pieces in order. Pieces are remembered up to
+    ``KEPT`` characters and then forgotten.
     """
 
     def __init__(self, path: str, end: int):
@@ -64,6 +73,7 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.end = end
+        self.mark, = self.library.encode(MARK, add_special_tokens=False).ids
         self._forget()
 
     def _forget(self) -> None:
@@ -72,42 +82,62 @@ class Encoder:
         self.used = 0
 
     def _learn(self, new: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts.append(self.used + np.cumsum(sizes) - sizes)
-        self.sizes.append(sizes)
-        self.flat.append(np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())))
-        self.used += int(sizes.sum())
+        """Pieces are given to the library as one text, parted by a mark that has a token of its own."""
+        plain = [p for p in new if MARK not in p]
+        odd = [p for p in new if MARK in p]
+        texts = [f" {MARK} ".join(plain[i:i + 1000]) + f" {MARK}" for i in range(0, len(plain), 1000)]
+        found = [np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+        for ids in found:
+            ends = np.flatnonzero(ids == self.mark)
+            sizes = np.diff(np.r_[-1, ends]) - 1
+            self._add(sizes, ids[ids != self.mark])
+        for p in odd:
+            ids = np.array(self.library.encode(p, add_special_tokens=False).ids, np.uint32)
+            self._add(np.array([len(ids)], np.int64), ids)
         at = len(self.numbers)
-        self.numbers.update(zip(new, range(at, at + len(new))))
+        self.numbers.update(zip(plain + odd, range(at, at + len(new))))
         self.held += sum(map(len, new))
 
+    def _add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.starts.append(self.used + np.cumsum(sizes) - sizes)
+        self.sizes.append(sizes)
+        self.flat.append(ids)
+        self.used += len(ids)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one behind the other, each with the end id, and how many each has."""
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        pieces = [p for text in split for p in text]
-        distinct = set(pieces)
+        split = pieces(texts)
+        distinct = split.values.dictionary_encode()
+        held = distinct.dictionary.to_pylist()
         if self.held > KEPT:
             self._forget()
-        new = [p for p in distinct if p not in self.numbers]
+        new = [p for p in held if p not in self.numbers]
         if new:
             self._learn(new)
         starts, sizes, flat = map(np.concatenate, (self.starts, self.sizes, self.flat))
         self.starts, self.sizes, self.flat = [starts], [sizes], [flat]
-        number = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        number = np.fromiter(map(self.numbers.__getitem__, held), np.int64, len(held))[distinct.indices.to_numpy()]
         long = sizes[number]
-        text_of = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
+        text_of = np.repeat(np.arange(len(split)), split.value_lengths().to_numpy())
         counts = np.bincount(text_of, long, len(split)).astype(np.int64) + 1
         out = np.full(int(counts.sum()), self.end, np.uint32)
         # ids of one piece stand together: the place in ``flat`` runs on from the piece's start
         total = int(long.sum())
         into = np.cumsum(long) - long
-        take = np.repeat(starts[number] - into, long) + np.arange(total)
-        place = np.arange(total) + np.repeat(text_of, long)  # one end id for every text before
-        out[place] = flat[take]
+        place = np.arange(total)
+        ids = flat[np.repeat(starts[number] - into, long) + place]
+        out[place + np.repeat(text_of, long)] = ids  # one end id for every text before
         return out, counts
 
 
+def pieces(texts: list[str]) -> pa.ListArray:
+    """Texts split at blanks, and before symbols that end a word."""
+    # lower case as the vocabulary's own rules do; special tokens are told by their case
+    lower = [t if "<|" in t or COMPOSED.search(t) else t.lower() for t in texts]
+    parted = pc.replace_substring_regex(pa.array(lower, pa.large_string()), TAIL, r"\1 \2\3")
+    return pc.split_pattern(pc.replace_substring(parted, "\n", " "), " ")
+
+
 @cache
 def encoder(path: str, end: int) -> Encoder:
     return Encoder(path, end)
