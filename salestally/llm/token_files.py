@@ -43,8 +43,8 @@ CHUNK, KEPT = 4_000_000, 8_000_000
 MARK = "`"
 # characters that the vocabulary's normal form may change otherwise than by lower case
 COMPOSED = re.compile("[^\x00-\u012f\u0131-\u024f]")
-# a letter, symbols, a blank
-TAIL = r"([a-z])([!-&(-/:-@\[-^{-~]+)([ \n]|\z)"
+# a letter, symbols (none that special tokens end with), a blank
+TAIL = r"([a-z])([!-&(-/:-@\[-^{}~]+)([ \n]|\z)"
 # bytes of ids that a reader hands on together
 HANDED = 8 << 20
 
