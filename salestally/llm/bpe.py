@@ -26,10 +26,10 @@ from pyspark.sql import types as T
 
 from salestally.llm.common import chunks, documents, fresh, map_batches, put, query
 
-# words whose encoding a task keeps; the store starts anew beyond it
-KEPT_WORDS = 200_000
+# words whose encoding a task keeps, and characters in them; the store starts anew beyond either
+KEPT_WORDS, KEPT_CHARACTERS = 150_000, 4_000_000
 # pairs of tokens whose verdict it keeps
-KEPT_PAIRS = 300_000
+KEPT_PAIRS = 200_000
 # characters of text that are encoded together
 CHUNK = 1_000_000
 
@@ -100,6 +100,7 @@ class Vocabulary:
         self._split = regex.compile(PATTERN)
         self._beyond = re.compile(f"[{chr(AGREED)}-\U0010ffff]")
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self._held = 0
         self._words: dict[str, bytes] = {s: array("I", [i]).tobytes() for s, i in self.special.items()}
 
     def _stay(self, left: int, right: int, below: int) -> bool:
@@ -179,10 +180,11 @@ class Vocabulary:
         """Packed ids of each text."""
         split = [self.words(text) for text in texts]
         new = set().union(*split).difference(self._words)
-        if len(self._words) + len(new) > KEPT_WORDS:
+        self._held += sum(map(len, new))
+        if len(self._words) + len(new) > KEPT_WORDS or self._held > KEPT_CHARACTERS:
             special = {s: self._words[s] for s in self.special}
             new = set().union(*split).difference(special)
-            self._words = special
+            self._words, self._held = special, sum(map(len, new))
         by_bytes = {word.encode(): word for word in new}
         for word, ids in self.encode_words(by_bytes).items():
             self._words[by_bytes[word]] = ids
@@ -249,6 +251,29 @@ def _unpacked(packed):
     return numbers(packed)
 
 
+def encode_and_decode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with the columns of ``encode`` and ``decode``, made by one worker from one vocabulary.
+
+    Texts go through in chunks of bounded size, so a worker holds one chunk's ids and texts
+    besides the vocabulary. Null, empty and very long texts, repeated rows, empty tables and
+    clashing columns are treated as by ``encode``.
+    """
+    name, = fresh(df, "text_in")
+    rows = put(put(df.withColumn(name, df[text].cast("string")), ids, F.lit(None).cast("binary")), decoded, F.lit(None).cast("string"))
+    schema = rows.drop(name).schema
+
+    def run(batches):
+        vocab = vocabulary(tokenizer)
+        for batch in batches:
+            for start, texts in chunks(batch.column(name), CHUNK):
+                piece = batch.slice(start, len(texts))
+                packed = vocab.encode(texts)
+                made = {ids: pa.array(packed, pa.binary()), decoded: pa.array(map(vocab.decode, packed), pa.string())}
+                yield pa.RecordBatch.from_arrays([made[f] if f in made else piece.column(f) for f in schema.names], schema.names)
+
+    return map_batches(rows, run, schema)
+
+
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with a column ``text``: what the packed ids say, special tokens included.
 
@@ -284,8 +309,7 @@ def op1_bpe(spark, sf_dir):
 
 def digests(docs: DataFrame) -> DataFrame:
     path = default_tokenizer()
-    both = decode(encode(docs, path).drop("text"), path)
-    return both.select(
+    return encode_and_decode(docs, path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -96,7 +96,8 @@ class Block:
             score = np.where(seen, np.log(np.maximum(others[k], 1) / np.maximum(context, 1)),
                              score + np.where(self.place[k] >= 0, np.log(BACKOFF), 0))
             alone &= ~seen
-        return np.bincount(self.doc, score, n_docs), np.bincount(self.doc, alone, n_docs).astype(np.int64)
+        # without words there is nothing to sum, and the sums would be whole numbers
+        return np.bincount(self.doc, score, n_docs).astype(float), np.bincount(self.doc, alone, n_docs).astype(np.int64)
 
 
 def score(docs: DataFrame, text: str = "text", order: int = ORDER, block: int = BLOCK) -> DataFrame:

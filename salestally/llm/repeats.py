@@ -129,19 +129,13 @@ def _arrow(rows: DataFrame, schema: str) -> pa.Schema:
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """``bucket``, ``context`` and their number in each batch."""
+    """``bucket`` and the number of runs that have it in each batch."""
     def make(batch):
-        buckets, names = [], []
-        for value in batch.column("body"):
-            raw = value.as_py()
-            hashes, begin, end, at = surroundings(np.frombuffer(raw, np.uint8))
-            buckets.append(hashes.view(np.int64))
-            names.append(contexts(raw, begin, end, at))
-        both = np.rec.fromarrays([np.concatenate(buckets), np.concatenate(names)])
-        values, n = np.unique(both, return_counts=True)
-        return [pa.array(values.f0), pa.array(values.f1), pa.array(n)]
+        buckets = [surroundings(np.frombuffer(value.as_py(), np.uint8))[0].view(np.int64) for value in batch.column("body")]
+        values, n = np.unique(np.concatenate(buckets), return_counts=True) if buckets else (np.zeros(0, np.int64),) * 2
+        return [pa.array(values), pa.array(n)]
 
-    return _each(rows, make, "bucket long, context long, n long")
+    return _each(rows, make, "bucket long, n long")
 
 
 def _runs(rows: DataFrame) -> DataFrame:
@@ -219,12 +213,13 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
     """
     body = F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary")
     rows = docs.select(docs[key].cast("long").alias("key"), F.xxhash64(body).alias("hash"), body.alias("body"))
-    counted = _counts(rows).groupBy("bucket", "context").agg(F.sum("n").alias("n"))
-    per = counted.groupBy("bucket").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
-    per = cut(per.select(F.col("bucket").alias("k_bucket"), "total", "kinds"), "repeats-buckets")
-    runs = _runs(rows)
-    # by bucket, how many surroundings it has; a text's runs in such buckets are gathered with it
-    flagged = runs.join(per, F.col("bucket") == F.col("k_bucket"))
+    per = _counts(rows).groupBy("bucket").agg(F.sum("n").alias("total")).where("total > 1").select(F.col("bucket").alias("k_bucket"))
+    # runs in buckets of one run are unique and go no further
+    shared = cut(_runs(rows).join(per, F.col("bucket") == F.col("k_bucket")).drop("k_bucket"), "repeats-runs")
+    # how many surroundings a bucket has
+    per = cut(shared.groupBy("bucket", "context").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("bucket").alias("k_bucket")).agg(
+        F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).where("kinds > 1"), "repeats-buckets")
+    flagged = shared.join(per, F.col("bucket") == F.col("k_bucket"), "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
     flagged = flagged.groupBy(F.coalesce("key", F.lit(0)).alias("r_key"), F.col("key").isNull().alias("r_null"), F.col("hash").alias("r_hash")).agg(
         F.collect_set(F.struct("bucket", "context", "begins", "runs", "into", (F.col("kinds") > 1).alias("sort"),
                                (F.col("kinds") > bucket).alias("large"))).alias("runs"))
@@ -260,8 +255,13 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
         sizes, spans, kept = [], [], []
         for value, hits in zip(batch.column("body"), batch.column("hits").to_pylist()):
             raw = value.as_py()
+            if not hits:
+                sizes.append(len(raw))
+                spans.append([])
+                kept.append(raw)
+                continue
             starts, ends = [], []
-            for h in hits or []:
+            for h in hits:
                 if h["whole"]:
                     starts.append(h["begins"])
                     ends.append(h["begins"] + h["runs"])
