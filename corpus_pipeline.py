@@ -38,8 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids, and whether they give the text back."""
-    path = bpe.default_tokenizer()
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path), path)
+    both = bpe.encode_and_decode(docs.select("doc_id", "source", "text"), bpe.default_tokenizer())
     return both.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
