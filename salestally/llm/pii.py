@@ -29,7 +29,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # candidates beyond the base kinds
 KEY = re.compile(r"[A-Z0-9]{16,}")
-SECRET = re.compile(r"([A-Za-z_]{2,24})\x20?[=:]\x20?([\"']?)([A-Za-z0-9+/_.!@$%^&*-]{6,120})\2")
+SECRET = re.compile(r"([A-Za-z_]{2,24})\x20?[=:]\x20?([\"']?)([A-Za-z0-9+/_.!@$%^&*-]{6,})\2")
 LOCAL_PHONE = re.compile(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 
 # word lists of the gazetteer labelers
@@ -104,7 +104,7 @@ def candidates(text: str) -> list[Candidate]:
     """Spans beyond the base kinds, with votes and features."""
     found: list[tuple[str, int, int, str, str]] = []
     found += [("key", m.start(), m.end(), m.group(), "") for m in KEY.finditer(text)
-              if len(m.group()) <= 40 and alone(text, m.start() - 1, m.end())]
+              if alone(text, m.start() - 1, m.end())]
     if "=" in text or ":" in text:
         found += [("secret", m.start(3), m.end(3), m.group(3), m.group(1)) for m in SECRET.finditer(text)]
     if "-" in text or "." in text or ")" in text:
@@ -118,7 +118,7 @@ def candidates(text: str) -> list[Candidate]:
         mixed = n_digits > 0 and letters > 0
         before = {w.lower() for w in re.findall(r"[A-Za-z_]+", text[max(0, start - AROUND):start])}
         listed = name.lower() in SECRET_NAMES if kind == "secret" else span.startswith(KEY_STARTS) if kind == "key" else None
-        shape = {"key": mixed and len(span) in (16, 20, 32, 40), "secret": mixed and len(span) >= 8,
+        shape = {"key": mixed and len(span) % 4 == 0, "secret": mixed and len(span) >= 8,
                  "phone": 10 <= n_digits <= 11}[kind]
         near = bool(before & NEAR)
         votes = (

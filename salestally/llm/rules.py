@@ -4,11 +4,10 @@ Lines are normalised and hashed, and per host the documents that have a line
 are counted. A line above the limit is removed as boilerplate, and a document
 of which little is left is rejected.
 
-Copies of one text must not make each other's lines look like boilerplate.
-So documents also get a signature, the least hash among three-word windows that
-begin with a long word, which near copies share. A line counts as boilerplate
-only if documents of enough different signatures have it, and if these are not
-few against the number of documents.
+Copies of one text must not make each other's lines look like boilerplate. So lines
+that enough documents have are candidates first, and documents are told apart by what they
+have besides them: a line is above the limit if enough documents have it that differ in
+their other lines. Copies, which have no other lines or the same ones, count as one.
 
 DataFrame functions only: no Python runs on the executors.
 """
@@ -24,10 +23,9 @@ from salestally.session import cut
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of words in repeated three-word windows
 LINE_DOCUMENTS = 10  # a line that more documents of a host have is removed
-LINE_TEXTS = 0.3  # if at least this share of them differ in signature
 LEAST_LEFT = 0.2  # of the characters in lines; with less a document is depleted
-LONG_WORD = 12
 WINDOW = 3
+BLANK = r"[\x20\x09\x0B-\x0D]+"  # within a line
 
 
 def window(words: str, i: Column) -> list[Column]:
@@ -58,17 +56,14 @@ def with_repeated_words(df: DataFrame, hashes: str) -> DataFrame:
 
 
 def profile(df: DataFrame, text: Column, host: Column) -> DataFrame:
-    """``df`` with counts, signature and hashed lines, in the columns ``q_*``."""
-    blank = r"[\x20\x09\x0B-\x0D]+"  # within a line
+    """``df`` with counts and hashed lines, in the columns ``q_*``."""
     out = df.withColumn("q_text", text).withColumn("q_host", F.coalesce(F.concat(F.lit("="), host), F.lit("")))
     out = out.withColumn("q_words", F.regexp_extract_all("q_text", F.lit(WORD), F.lit(0)))
     out = out.withColumn("q_hashes", F.slice(
         F.transform("q_words", lambda w, i: F.xxhash64(*window("q_words", i))), 1, F.greatest(F.size("q_words") - WINDOW + 1, F.lit(0))))
     out = with_repeated_words(out, "q_hashes")
-    least = F.array_min(F.transform("q_words", lambda w, i: F.when(
-        F.length(w) >= LONG_WORD, F.md5(F.concat_ws(" ", *window("q_words", i))))))
     lines = F.filter(F.split("q_text", "\n"), lambda line: line.rlike(WORD))
-    normal = F.split(F.lower(F.regexp_replace("q_text", blank, " ")), "\n")
+    normal = F.split(F.lower(F.regexp_replace("q_text", BLANK, " ")), "\n")
     out = out.select(
         *[c for c in out.columns if c not in ("q_words", "q_hashes", "q_text", "n_repeat_words")],
         F.size("q_words").cast("long").alias("n_words"),
@@ -76,7 +71,6 @@ def profile(df: DataFrame, text: Column, host: Column) -> DataFrame:
         F.regexp_count("q_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
-        F.coalesce(least, F.md5("q_text")).alias("q_signature"),
         F.filter(F.transform(normal, lambda line: F.struct(
             F.xxhash64(F.trim(line)).alias("h"), F.length(F.trim(line)).alias("n"))), lambda x: x["n"] > 0).alias("q_lines"),
     )
@@ -84,41 +78,58 @@ def profile(df: DataFrame, text: Column, host: Column) -> DataFrame:
         100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
 
 
-def boilerplate(profiles: DataFrame, limit: int = LINE_DOCUMENTS, texts: float = LINE_TEXTS) -> DataFrame:
+def boilerplate(profiles: DataFrame, limit: int = LINE_DOCUMENTS) -> DataFrame:
     """Host and hash of the lines above the limit. A document counts once for a line."""
-    seen = profiles.select("q_host", "q_signature", F.explode(F.array_distinct(F.transform("q_lines", lambda x: x["h"]))).alias("h"))
-    by_text = seen.groupBy("q_host", "h", "q_signature").agg(F.count(F.lit(1)).alias("n"))
-    by_line = by_text.groupBy("q_host", "h").agg(F.sum("n").alias("documents"), F.count(F.lit(1)).alias("texts"))
-    return by_line.where((F.col("texts") > limit) & (F.col("texts") >= texts * F.col("documents"))).select(
-        F.col("q_host").alias("b_host"), F.col("h").alias("b_h"))
-
-
-def judge(docs: DataFrame, text: str = "text", host: str = "source", carry: list[str] | None = None) -> DataFrame:
+    each = profiles.select("q_id", "q_host", F.explode(F.array_distinct(F.transform("q_lines", lambda x: x["h"]))).alias("h"))
+    many = each.groupBy("q_host", "h").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > limit)
+    many = cut(many.select(F.col("q_host").alias("m_host"), F.col("h").alias("m_h")), "rules-candidates")
+    marked = each.join(many, (F.col("q_host") == F.col("m_host")) & (F.col("h") == F.col("m_h")), "left")
+    # per document: its candidates, and one number for the set of its other lines
+    own = marked.groupBy("q_id", "q_host").agg(
+        F.collect_list("m_h").alias("lines"),
+        F.coalesce(F.bit_xor(F.when(F.col("m_h").isNull(), F.xxhash64("h", F.lit(1)))), F.lit(0)).alias("others"))
+    by_text = own.where(F.size("lines") > 0).select("q_host", "others", F.explode("lines").alias("h")).distinct()
+    by_line = by_text.groupBy("q_host", "h").agg(F.count(F.lit(1)).alias("texts"))
+    return by_line.where(F.col("texts") > limit).select(F.col("q_host").alias("b_host"), F.col("h").alias("b_h"))
+
+
+def without_lines(text: Column, hashes: Column) -> Column:
+    """The text without the lines whose normalised form has one of these hashes."""
+    hashed = lambda line: F.xxhash64(F.trim(F.lower(F.regexp_replace(line, BLANK, " "))))
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.array_contains(hashes, hashed(line))), "\n")
+
+
+def judge(docs: DataFrame, text: str = "text", host: str = "source", carry: list[str] | None = None,
+          clean: bool = False) -> DataFrame:
     """Every row of ``docs`` (``carry``: the columns wanted, all unless given) as struct ``row``,
-    with its counts, ``base_failed`` and ``kept``.
+    with its counts, ``base_failed``, ``kept`` and ``n_removed_lines``; with ``clean`` also ``left``,
+    the text without the lines above the limit.
 
     A null text counts as empty; both have no words and fail. Null hosts make up one host.
-    Repeated rows are judged each, and count as one text for their lines. An empty table gives
-    an empty table.
+    Repeated rows are judged each, and count as one text for their lines. A very long text is
+    one row throughout. Equal counts are no ties: a limit must be passed. An empty table gives an
+    empty table. Columns of ``docs`` are kept inside ``row``, so none can clash.
     """
     names = docs.columns if carry is None else carry
     rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), text_or_empty(docs, text).alias("in_text"),
                        docs[host].cast("string").alias("in_host"))
-    rows = profile(rows, F.col("in_text"), F.col("in_host")).drop("in_text", "in_host")
+    rows = profile(rows, F.col("in_text"), F.col("in_host"))
+    rows = rows.drop("in_host") if clean else rows.drop("in_text", "in_host")
     rows = cut(rows.withColumn("q_id", F.monotonically_increasing_id()), "rules-profiles")
     lines = cut(boilerplate(rows), "rules-lines")
     total = F.aggregate("q_lines", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     each = rows.select("q_id", "q_host", total.alias("total"), F.explode("q_lines").alias("line"))
     gone = (each.join(lines, (each["q_host"] == lines["b_host"]) & (each["line"]["h"] == lines["b_h"]))
             .groupBy("q_id").agg(F.sum("line.n").alias("removed"), F.first("total").alias("total"),
-                                 F.count(F.lit(1)).alias("n")))
+                                 F.count(F.lit(1)).alias("n"), F.collect_set("line.h").alias("hashes")))
     gone = cut(gone.select(F.col("q_id").alias("g_id"), (F.col("total") - F.col("removed") < LEAST_LEFT * F.col("total"))
-                           .alias("depleted"), F.col("n").alias("n_removed_lines")), "rules-removed")
-    out = rows.join(gone, rows["q_id"] == gone["g_id"], "left")
+                           .alias("depleted"), F.col("n").alias("n_removed_lines"), "hashes"), "rules-removed")
+    out = rows.join(gone if clean else gone.drop("hashes"), rows["q_id"] == gone["g_id"], "left")
+    left = [F.when(F.col("hashes").isNull(), F.col("in_text")).otherwise(without_lines(F.col("in_text"), F.col("hashes"))).alias("left")]
     return out.select(
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~F.coalesce(F.col("depleted"), F.lit(False))).alias("kept"),
-        F.coalesce(F.col("n_removed_lines"), F.lit(0)).cast("long").alias("n_removed_lines"))
+        F.coalesce(F.col("n_removed_lines"), F.lit(0)).cast("long").alias("n_removed_lines"), *(left if clean else []))
 
 
 OP5_SQL = r"""
@@ -127,10 +138,8 @@ WITH d AS (
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
 win AS (
-  SELECT id, i, len(w) AS n, w[i] || ' ' || coalesce(w[i + 1], '') || ' ' || coalesce(w[i + 2], '') AS s, length(w[i]) AS first_length,
-         concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS shown
+  SELECT id, i, len(w) AS n, w[i] || ' ' || coalesce(w[i + 1], '') || ' ' || coalesce(w[i + 2], '') AS s
   FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-sig AS (SELECT id, min(md5(shown)) AS signature FROM win WHERE first_length >= 12 GROUP BY id),
 rep AS (
   SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, s) AS c FROM win WHERE i <= n - 2) WHERE c > 1),
 repeated AS (
@@ -142,10 +151,14 @@ dup AS (
   WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY id),
 norm AS (
   SELECT id, trim(lower(regexp_replace(l, '[\x20\x09\x0B-\x0D]+', ' ', 'g'))) AS l FROM line),
-per AS (
-  SELECT d.host, n.l, count(DISTINCT n.id) AS documents, count(DISTINCT coalesce(s.signature, md5(d.t))) AS texts
-  FROM norm n JOIN d USING (id) LEFT JOIN sig s USING (id) WHERE n.l <> '' GROUP BY ALL),
-frequent AS (SELECT host, l FROM per WHERE texts > 10 AND texts >= 0.3 * documents),
+many AS (
+  SELECT d.host, n.l FROM norm n JOIN d USING (id) WHERE n.l <> '' GROUP BY ALL HAVING count(DISTINCT n.id) > 10),
+own AS (
+  SELECT n.id, coalesce(string_agg(DISTINCT n.l, chr(10) ORDER BY n.l) FILTER (m.l IS NULL), '') AS others
+  FROM norm n JOIN d USING (id) LEFT JOIN many m ON m.host = d.host AND m.l = n.l WHERE n.l <> '' GROUP BY n.id),
+frequent AS (
+  SELECT d.host, n.l FROM norm n JOIN d USING (id) JOIN many m ON m.host = d.host AND m.l = n.l JOIN own USING (id)
+  GROUP BY ALL HAVING count(DISTINCT others) > 10),
 left_over AS (
   SELECT n.id, sum(length(n.l)) AS total, coalesce(sum(length(n.l)) FILTER (f.l IS NOT NULL), 0) AS removed,
          count(f.l) AS n_removed_lines

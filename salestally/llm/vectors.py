@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salestally.llm.common import map_batches, query, ship, table
-from salestally.llm.graph import Forest, components
+from salestally.llm.graph import Forest, components, tie_all
 from salestally.session import cut
 
 COSINE = 0.95
@@ -33,6 +33,8 @@ SLACK = 0.05  # spreading passes through vectors that are a little out of range
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one; the largest component is divided out first, since squares can overflow or vanish."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True, initial=0)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -237,24 +239,51 @@ class Index:
         return every.groupBy("shard", "block").applyInArrow(run, "id long, n long, tied array<long>")
 
 
+def few_links(distinct: DataFrame) -> DataFrame:
+    """``links`` of vectors whose length at most ``SHARD`` of them have: all of a length are compared."""
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        ids, weight, x = rows["id"].to_numpy(), rows["weight"].to_numpy(), unit(as_matrix(rows["vector"]))
+        link = x @ x.T >= COSINE
+        np.fill_diagonal(link, False)
+        forest = Forest(len(ids))
+        tie_all(forest, link)
+        tied: dict[int, list[int]] = {}
+        for a, b in forest.edges:
+            tied.setdefault(a, []).append(int(ids[b]))
+        some = np.flatnonzero(link.any(axis=1))
+        return pa.table({"id": pa.array(ids[some]), "n": pa.array((link @ weight)[some], pa.int64()),
+                         "tied": pa.array([tied.get(i, []) for i in some.tolist()], pa.list_(pa.int64()))})
+
+    return distinct.groupBy("k").applyInArrow(run, "id long, n long, tied array<long>")
+
+
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """One row per row of ``df``: its key, ``n_links``, ``component_id`` and ``kept``.
 
-    Equal vectors are searched once and count as linked. Null, zero and non-finite vectors, and
-    vectors of another length than most, have no links. Repeated keys stay apart in ``n_links``
-    and share a component; rows with a null key have none. An empty table gives an empty table.
+    Equal vectors are searched once and count as linked. Null, empty, zero and non-finite vectors
+    have no links; vectors link with those of their own length. Repeated keys stay apart in
+    ``n_links`` and share a component; rows with a null key have none. An empty table gives an
+    empty table; further columns are not looked at, so none can clash.
+
+    Each length that more than ``SHARD`` vectors have gets an index of its own; there are at most as
+    many as the table has shards. Vectors of rarer lengths are compared with all of their length.
     """
     rows = df.select(df[key].cast("long").alias("id"), df[vector].cast("array<double>").alias("v"))
     fine = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.withColumn("fine", F.coalesce(fine & F.exists("v", lambda x: x != 0), F.lit(False)))
-    sizes = rows.where("fine").groupBy(F.size("v").alias("k")).count().orderBy(F.desc("count"), "k").first()
-    dim = sizes["k"] if sizes else 0
-    rows = rows.withColumn("v", F.when(F.col("fine") & (F.size("v") == dim) & F.col("id").isNotNull(), F.col("v")))
+    fine = fine & F.exists("v", lambda x: x != 0) & F.col("id").isNotNull()
+    rows = rows.withColumn("v", F.when(F.coalesce(fine, F.lit(False)), F.col("v")))
     known = cut(rows.where("v is not null").groupBy(F.col("v").alias("vector")).agg(
-        F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "vectors")
+        F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")).withColumn("k", F.size("vector")), "vectors")
     member = rows.where("v is not null").join(known, F.col("v") == F.col("vector"))
     member = cut(member.select(rows["id"].alias("m_id"), known["id"].alias("class_id"), "weight"), "vector-classes")
-    found = cut(Index(known).links(), "vector-links")
+    sizes = known.groupBy(F.col("k").alias("length")).count()
+    large = [r.length for r in sizes.where(F.col("count") > SHARD).orderBy("length").collect()]
+    few = known.join(sizes.where(F.col("count") <= SHARD), F.col("k") == F.col("length"), "left_semi")
+    links = few_links(few)
+    for length in large:
+        links = links.union(Index(known.where(F.col("k") == length).drop("k")).links())
+    found = cut(links, "vector-links")
     n = found.groupBy("id").agg(F.sum("n").alias("n")).withColumnRenamed("id", "n_id")
     parts = components(found.select(F.col("id").alias("a"), F.explode("tied").alias("b")))
     out = member.join(n, F.col("class_id") == F.col("n_id"), "left").join(parts, F.col("class_id") == F.col("node"), "left")

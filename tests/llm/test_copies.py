@@ -146,9 +146,12 @@ def test_repeats_of_the_query(spark, folder):
 # --- vectors
 
 def plain_links(rows):
-    good = [v is not None and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v) and k is not None for k, v in rows]
-    unit = [np.array(v, float) / np.linalg.norm(np.array(v, float)) if g else None for (_, v), g in zip(rows, good)]
-    link = [[i != j and good[i] and good[j] and unit[i] @ unit[j] >= 0.95 for j in range(len(rows))] for i in range(len(rows))]
+    good = [v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) and k is not None for k, v in rows]
+    whole = [np.array([Fraction(x) for x in v], object) if g else None for (_, v), g in zip(rows, good)]
+    big = [max(abs(x) for x in w) if g else None for w, g in zip(whole, good)]
+    unit = [np.array([float(x / b) for x in w]) if g else None for w, b, g in zip(whole, big, good)]
+    unit = [u / np.linalg.norm(u) if g else None for u, g in zip(unit, good)]
+    link = [[i != j and good[i] and good[j] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95 for j in range(len(rows))] for i in range(len(rows))]
     up = linked(rows, link)
     groups = defaultdict(list)
     for i, (k, _) in enumerate(rows):
@@ -166,7 +169,9 @@ def test_vectors(spark, monkeypatch, shard):
         rows += [(len(rows) + k, (centre + rng.normal(size=8) * 0.05).tolist()) for k in range(group)]
     rows += [(500 + k, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0]) for k in range(15)]
     rows += [(600, None), (601, [0.0] * 8), (602, [1.0, None] * 4), (603, [float("nan")] * 8), (604, [float("inf")] * 8),
-             (605, [1.0]), (None, [1.0] * 8), (606, [-1.0] * 8), (606, [-1.0] * 8)]
+             (605, [1.0]), (None, [1.0] * 8), (606, [-1.0] * 8), (606, [-1.0] * 8), (607, [])]
+    # another length; squares that overflow and that vanish
+    rows += [(700, [2.0]), (701, [-3.0]), (702, [1e200, 2e200]), (703, [2e200, 4e200]), (704, [1e-200, 2e-200]), (705, [3.0, 1.0]), (706, [5e-324, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("n_links", F.lit(1)).withColumn("kept", F.lit(1))
     found = vectors.near_duplicates(df)
     assert Counter((r.vec_id, r.n_links, r.component_id) for r in found.collect()) == plain_links(rows)

@@ -143,6 +143,21 @@ def test_depleted_documents_go_and_copies_stay(spark):
     assert all(out[i].kept for i in [*range(25), *range(100, 140), 200])
 
 
+def test_hosts_of_footers(spark):
+    """Footers go though they are most of their documents, and copies beside them change nothing."""
+    footer = "\n".join(" ".join(f"f{k}x{i}" for i in range(40)) for k in range(12))
+    own = lambda i: " ".join(f"own{i}x{j}" for j in range(40))
+    for n, copies in ((200, 0), (100, 300)):
+        rows = [(i, f"{own(i)}\n{footer}", "h") for i in range(n)] + [(10_000 + i, prose(5, 200), "h") for i in range(copies)]
+        rows += [(20_000, prose(9, 300) + "\n" + footer.split("\n")[0] + "\nend", "h"), (20_001, footer, "other")]
+        out = rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), clean=True).collect()
+        kept = {r.row.doc_id: r for r in out if r.kept}
+        assert sorted(kept) == [*range(10_000, 10_000 + copies), 20_000, 20_001]
+        assert kept[20_000].left == prose(9, 300) + "\nend" and kept[20_000].n_removed_lines == 1
+        assert all(r.left == r.row.text for k, r in kept.items() if k != 20_000)
+        assert all(r.left == own(r.row.doc_id) and r.n_removed_lines == 12 for r in out if r.row.doc_id < n)
+
+
 def test_rules_run_no_python(spark, folder):
     plan = QUERIES["op5_quality_rules"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -189,6 +204,18 @@ def test_personal_data(odd, clashing, none, folder, spark):
     assert pii.find(none, pii.fit(none)).collect() == [] and pii.fit(none).weights is None
 
 
+def test_secrets_of_any_length(spark):
+    """Long tokens and keys are taken whole."""
+    token, key = "aB3" * 130 + "x9", "A1B2C3D4" * 8
+    for text, kind, span in ((f"token={token} end", "secret", token), (f'secret: "{token}" end', "secret", token), (f"use {key} now", "key", key)):
+        found = [c for c in pii.candidates(text) if c.kind == kind]
+        assert [text[c.start:c.end] for c in found] == [span]
+    rows = [(i, f"token={token[i:]} end") for i in range(40)] + [(100 + i, f"see key: {'plainword' * (i % 4 + 1)} there") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in pii.mask(df, pii.fit(df)).collect()}
+    assert all(texts[i] == "token=<secret> end" for i in range(40))
+
+
 def test_long_runs_take_linear_time():
     for text in ("1" * 200_000, "a" * 200_000 + "@", "@" * 100_000, "+1" * 100_000, "1." * 100_000):
         pii.base_spans(text)
