@@ -15,8 +15,12 @@ from salestally.session import cut
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the counts and are more than boilerplate."""
-    return rules.judge(docs).where("kept").select("row.*")
+    """Documents that pass the counts and are more than boilerplate, without the lines that are; the length follows."""
+    kept = rules.judge(docs, clean=True).where("kept")
+    shorter = F.col("n_removed_lines") > 0
+    made = {"text": F.col("left"), "n_chars": F.when(shorter, F.length("left").cast("long")).otherwise(F.col("row").getField("n_chars"))
+            if "n_chars" in docs.columns else None}
+    return kept.select(*[made[c].alias(c) if c in made else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
