@@ -199,6 +199,42 @@ def _(m):
     return reshape.union_all(parts).groupBy("sheet", "metric", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+# copies of the seven landing sheets and a sheet whose metrics are data, under names of their own
+_COPIES = 60
+_METRIC_SHEET = "Sales Summary_Sales Trends by Metric"
+
+
+@model_check("landing_of_many_sheets", with_fact(f"""SELECT sheet, status, count(*) AS n FROM (
+  SELECT c.sheet || ' ' || k AS sheet, status FROM (
+    SELECT sheet, 'Match' AS status FROM ({cx.sheet_cells_sql(fv.LANDING_SHEETS)})) c, range({_COPIES}) t(k)
+  UNION ALL SELECT '{_METRIC_SHEET}', 'Match' FROM ({cx.query_cells_sql('SP_SalesTrend')})) GROUP BY 1, 2"""))
+def _(m):
+    """Hundreds of sheets matched by profile: a query's result is compared once for all that it answers."""
+    pinned = m.pinned(P)
+    wanted = list(fv.LANDING_SHEETS)
+    copy = F.explode(F.sequence(F.lit(0), F.lit(_COPIES - 1)))
+    named = lambda df: df.withColumn("k", copy).withColumn("sheet", F.concat_ws(" ", "sheet", "k")).drop("k")
+    shapes = named(all_shapes(pinned, wanted))
+    trend = reshape.format_result(default_registry().call("SP_SalesTrend", pinned, P), _METRIC_SHEET, "monthly_trends")
+    long = trend.select("sheet", F.lit(0).cast("bigint").alias("row_ord"), "identifier", "metric", F.col("value").alias("value_raw"))
+    more = long.groupBy("sheet").agg(F.count(F.lit(1)).alias("data_volume")).select(
+        "sheet", F.array(*[F.lit(h) for h in ("identifier/label", "metric", "excel value", "month", "current year")]).alias("headers"),
+        "data_volume", F.lit(5).alias("n_columns"))
+    groups = {}
+    for sheet in wanted:
+        layout = reshape.layout_of(SHEETS[sheet][1])
+        groups.setdefault(comparisons.WIDE_OF[layout], []).append(named(reshape.sheet_wide(sheet_rows(pinned, sheet), layout)))
+    wide = {kind: reshape.union_all(parts) for kind, parts in groups.items()}
+    method, reports = comparisons.compare_landing_any(
+        long, wide, cut(shapes.unionByName(more), "sheet-shapes"), default_registry(), m, P, long)
+    parts = [reports["metric"].select("sheet", "status")]
+    for kind in groups:
+        metrics = comparisons.WIDE_LAYOUTS[kind]
+        statuses = reports[kind].select("sheet", *[F.col(f"`{x} Status`").alias(x) for x in metrics])
+        parts.append(statuses.unpivot(["sheet"], metrics, "metric", "status").select("sheet", "status"))
+    return reshape.union_all(parts).groupBy("sheet", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @model_check("sheet_samples", with_fact(
     f"""SELECT sheet, row_ord, lower('Identifier') || '=' || identifier || ' actual sales=' || raw AS sample FROM (
   SELECT *, row_number() OVER (ORDER BY row_ord) AS r FROM (

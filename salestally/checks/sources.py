@@ -10,10 +10,10 @@ from salestally import fixed_values as fv
 from salestally.checks import cells as cx
 from salestally.checks.base import P, YEAR, check, with_fact
 from salestally.checks.matching import SHEETS, rows_sql, sheet_rows
-from salestally.model import bind_folder
+from salestally.model import bind_folder, read_table
 from salestally.plans import comparisons, sinks
 from salestally.session import cut, scratch
-from salestally.sources import exports
+from salestally.sources import exports, sheets
 from salestally.sources.registry import default_registry
 from salestally.streaming import arrivals
 
@@ -42,6 +42,47 @@ def _(spark, folder):
     return cells.select("sheet", "identifier", "metric", F.col("value_raw").alias("value"))
 
 
+@check("sheets_read_as_rows", with_fact(_CELLS))
+def _(spark, folder):
+    """The same sheets as one table of rows, read in one pass whatever their headers."""
+    rows = sheets.read_rows(spark, write_sheets(spark, folder), fv.EXPORT_FILE_PATTERN)
+    return sheets.cells_of_rows(rows).select("sheet", "identifier", "metric", F.col("value_raw").alias("value"))
+
+
+_IN_ORDER = """SELECT 'Sales Summary_Parts' AS sheet, row_number() OVER (ORDER BY p_partkey) AS row_number, p_name AS identifier,
+  CAST(p_size AS VARCHAR) AS value FROM part
+UNION ALL SELECT 'Sales Summary_Stores', row_number() OVER (ORDER BY s_suppkey DESC), s_name, CAST(s_suppkey AS VARCHAR) FROM supplier"""
+
+
+@check("sheets_read_in_order", _IN_ORDER)
+def _(spark, folder):
+    """Sheets of many part files of unequal size; every row has its number in its sheet."""
+    place = scratch(spark, "exports")
+    m = bind_folder(spark, folder)
+    parts = read_table(spark, folder, "part").repartitionByRange(6, F.floor(F.log2(F.col("p_partkey") + 1)), "p_partkey").sortWithinPartitions("p_partkey")
+    parts.select(F.col("p_name").alias("Identifier"), F.col("p_size").alias("Actual Sales")).write.option("header", True).csv(
+        os.path.join(place, "Sales Summary_Parts.csv"))
+    stores = m.stores.orderBy(F.desc("store_key"))
+    stores.select("store", F.col("store_key").alias("Actual Sales"), F.lit("x").alias("Note")).withColumnRenamed("store", "Identifier").write.option(
+        "header", True).csv(os.path.join(place, "Sales Summary_Stores.csv"))
+    rows = sheets.numbered(sheets.read_rows(spark, place))
+    return rows.select("sheet", F.col("row").alias("row_number"), F.get("fields", F.lit(0)).alias("identifier"),
+                       F.get("fields", F.lit(1)).alias("value"))
+
+
+@check("files_tagged_parquet", """SELECT 'Stores' AS sheet, s_name AS label, NULL AS kind, row_number() OVER (ORDER BY s_suppkey) AS row_number FROM supplier
+UNION ALL SELECT 'Products', p_name, p_brand, row_number() OVER (ORDER BY p_partkey) FROM part""")
+def _(spark, folder):
+    """Parquet sheets of different columns as rows of one table, in order, columns by each file's footer."""
+    place, m = scratch(spark, "parquet"), bind_folder(spark, folder)
+    m.stores.orderBy("store_key").select("store").write.parquet(os.path.join(place, "Stores.parquet"))
+    m.products.orderBy("product_key").select("product", "brand").write.parquet(os.path.join(place, "Products.parquet"))
+    rows = sheets.numbered(sheets.read_rows(spark, place, "*.parquet", "parquet"))
+    value = lambda name: F.get("fields", F.array_position("headers", name) - 1)
+    return rows.select("sheet", F.coalesce(value("store"), value("product")).alias("label"), value("brand").alias("kind"),
+                       F.col("row").alias("row_number"))
+
+
 @check("sheets_read_week_metric", with_fact(
     f"""SELECT 'Sales Summary_Weeks' AS sheet, identifier, metric, CASE WHEN identifier = 'Week3' THEN '0' ELSE value END AS value
 FROM ({cx.query_cells_sql('SP_WeekwiseSalesComparison')})"""))
@@ -144,6 +185,46 @@ def _(spark, folder):
     return out.groupBy("sheet", "metric", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+_ODD = "Sales Summary_Remarks"
+
+
+@check("folder_compared_store", with_fact(
+    f"""SELECT 'bundle' AS method, sheet, metric, 'Match' AS status, count(*) AS n FROM (
+  SELECT 'Sales Summary_Sales Trends' AS sheet, metric FROM ({cx.query_cells_sql('SP_SalesTrend', 'store_key = 7')})
+  UNION ALL SELECT 'Sales Summary_Sales by Product', metric FROM ({cx.query_cells_sql('SP_TopProductsBySales', 'store_key = 7')})
+  UNION ALL SELECT 'Sales Summary_Top Performing Em', metric FROM ({cx.query_cells_sql('SP_TopPerformingEmployee', 'store_key = 7')})) GROUP BY 2, 3
+UNION ALL SELECT 'bundle', '{_ODD}', 'Actual Sales', 'Mismatch', count(*) FROM region"""))
+def _(spark, folder):
+    """A folder of one store's sheets: one name is cut, and one sheet has headers that are not known. All are reported."""
+    place, m, r = scratch(spark, "exports"), bind_folder(spark, folder), default_registry()
+    p = P.override(store="7")
+    for name, query in (("Sales Summary_Sales Trends", "SP_SalesTrend"), ("Sales Summary_Sales by Product", "SP_TopProductsBySales"),
+                        ("Sales Summary_Top Performing Em", "SP_TopPerformingEmployee")):
+        rows = r.call(query, m, p, ordered=False)
+        names = {"Month": "Identifier", "ProductName": "Identifier", "EmployeeName": "Identifier", "Sales": "Actual Sales",
+                 "CurrentYearSales": "Current Year", "PreviousYearSales": "Previous Year"}
+        rows.withColumnsRenamed(names).write.option("header", True).csv(os.path.join(place, f"{name}.csv"))
+    read_table(spark, folder, "region").select(F.col("r_name").alias("Area"), F.lit("?").alias("Remark")).write.option(
+        "header", True).csv(os.path.join(place, f"{_ODD}.csv"))
+    method, rows = comparisons.compare_folder(spark, place, "Top Stores by Sales", "7", r, m, p)
+    return rows.groupBy(F.lit(method).alias("method"), "sheet", "metric", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@check("sheets_of_one_title", with_fact(
+    f"""SELECT 'Sales Summary_Top Performing Employee' AS sheet, 'Match' AS status, count(*) AS n FROM ({cx.query_cells_sql('SP_TopPerformingEmployee')})
+UNION ALL SELECT 'Sales Summary_Top Performing Emus', 'Mismatch', count(*) FROM region"""))
+def _(spark, folder):
+    """Two sheets whose names agree in 31 characters: each is compared under its own."""
+    m, r = bind_folder(spark, folder), default_registry()
+    db = comparisons.bundle_cells(r, m, P, ["SP_TopPerformingEmployee"])
+    own = db.select("sheet", F.lit(0).cast("bigint").alias("row_ord"), "identifier", "metric", F.col("value").alias("value_raw"))
+    other = read_table(spark, folder, "region").select(
+        F.lit("Sales Summary_Top Performing Emus").alias("sheet"), F.lit(0).cast("bigint").alias("row_ord"), F.col("r_name").alias("identifier"),
+        F.lit("Actual Sales").alias("metric"), F.lit("1").alias("value_raw"))
+    rows = comparisons.compare_bundle(own.unionByName(other), r, m, P, ["SP_TopPerformingEmployee"])
+    return rows.groupBy("sheet", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- arrivals ----------------------------------------------------------------------------
 
 STAFF = cx.entity_sql("staff")
@@ -166,6 +247,54 @@ def _(spark, folder):
     return arrivals.read_arrivals(spark, out).drop("batch")
 
 
+@check("arrivals_all_layouts", with_fact(
+    f"SELECT sheet, metric, 'Match' AS status, count(*) AS n FROM ({_CELLS}) GROUP BY 1, 2 "
+    f"UNION ALL SELECT 'Sales Summary_Odd', 'Actual Sales', 'Mismatch', count(*) FROM region"))
+def _(spark, folder):
+    """Sheets of five layouts, and one of headers that are not known, that arrive in two drops."""
+    place = write_sheets(spark, folder)
+    db = cut(sheets.last_cells(sheets.cells_of_rows(sheets.read_rows(spark, place))).withColumnRenamed("value_raw", "value"), "db-cells")
+    drop, out, log = (scratch(spark, n) for n in ("drop", "arrived", "arrivals"))
+    for half in (FILES[:2], FILES[2:]):
+        for name in half:
+            sheet_rows(bind_folder(spark, folder).pinned(P), name).drop("sheet", "row_ord").write.option("header", True).csv(
+                os.path.join(drop, f"{name}.csv"))
+        arrivals.reconcile_arrivals(arrivals.stream_sheets(spark, drop), db, out, log).awaitTermination()
+    read_table(spark, folder, "region").select(F.col("r_name").alias("Area"), F.lit("?").alias("Remark")).coalesce(1).write.option(
+        "header", True).csv(os.path.join(drop, "Sales Summary_Odd.csv"))
+    arrivals.reconcile_arrivals(arrivals.stream_sheets(spark, drop), db, out, log).awaitTermination()
+    return arrivals.read_arrivals(spark, out).groupBy("sheet", "metric", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+# stores in three drops: all of them; every third again with another value; every fourth, in another layout
+_DROPS = f"""
+SELECT 'Sales Summary_Stores' AS sheet, s_name AS identifier, 'Actual Sales' AS metric,
+  CAST(CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey * 100 WHEN s_suppkey % 3 = 0 THEN s_suppkey * 10 ELSE s_suppkey END AS VARCHAR) || '.00' AS excel_value,
+  CAST(s_suppkey * 10 AS VARCHAR) || '.00' AS db_value,
+  CASE WHEN s_suppkey = 0 OR s_suppkey % 4 <> 0 AND s_suppkey % 3 = 0 THEN 'Match' ELSE 'Mismatch' END AS status FROM supplier
+UNION ALL SELECT 'Sales Summary_Stores', s_name, 'Target', CAST(s_suppkey AS VARCHAR) || '.00', 'Not Found', 'Mismatch' FROM supplier WHERE s_suppkey % 4 = 0"""
+
+
+@check("arrivals_last_wins", _DROPS)
+def _(spark, folder):
+    """Corrections that arrive later replace what earlier drops said; the result is that of one batch."""
+    stores = bind_folder(spark, folder).stores
+    drop, out, log = (scratch(spark, n) for n in ("drop", "latest", "arrivals"))
+    key, name = F.col("store_key"), F.col("store").alias("Identifier")
+    db = cut(stores.select(F.lit("Sales Summary_Stores").alias("sheet"), F.col("store").alias("identifier"), F.lit("Actual Sales").alias("metric"),
+                           (key * 10).cast("string").alias("value")), "db-cells")
+    drops = [
+        stores.orderBy("store_key").select(name, key.alias("Actual Sales")),
+        stores.where(key % 3 == 0).orderBy("store_key").select(name, (key * 10).alias("Actual Sales")),
+        stores.where(key % 4 == 0).orderBy("store_key").select(name, (key * 100).alias("Actual Sales"), key.alias("Target")),
+    ]
+    for i, rows in enumerate(drops):
+        rows.coalesce(1).write.option("header", True).csv(os.path.join(drop, f"drop{i}", "Sales Summary_Stores.csv"))
+        cells = arrivals.stream_sheets(spark, drop, "drop*/*.csv", places=True)
+        arrivals.reconcile_latest(cells, db, out, log).awaitTermination()
+    return arrivals.read_latest(spark, out).drop("row_ord")
+
+
 @check("arrivals_summed", with_fact(
     f"""SELECT sheet, sum(CAST(1 AS BIGINT))::BIGINT AS total, count(*) FILTER (WHERE status = 'Match') AS matches
 FROM ({cx.long_sql('staff')}) GROUP BY 1""", *STAFF))

@@ -156,15 +156,15 @@ class SalesModel:
         return self.line_sales(p, compare) if self.facts is not None else self.bills(p, compare)
 
     def pinned(self, p: Params, compare: bool = True) -> "SalesModel":
-        """The joined facts of a period written once, for several queries.
+        """The joined facts of a period and scope written once, for several queries.
 
-        A comparison runs up to eighteen queries over the same period; written
+        A comparison runs up to eighteen queries with the same parameters; written
         once, each of them reads two or three columns of one table and the
-        join of lines with orders is paid a single time.
+        join of lines with orders is paid a single time. What the parameters leave
+        out, such as all other stores of a drill-through, is not written. Queries with
+        further filters can run on it, queries with others cannot.
         """
-        wide = replace(p, store=None, state=None, brand=None, category=None,
-                       sub_category=None, product=None, week=None, year_week=None, channel=None)
-        facts = self.line_sales(wide, compare).select(
+        facts = self.line_sales(p, compare).select(
             "order_key", "order_ts", "customer_key", "channel",
             "store_key", "product_key", "units", "sales",
         )

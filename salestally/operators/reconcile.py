@@ -129,14 +129,17 @@ def with_weekly_fallbacks(left: DataFrame, db: DataFrame) -> DataFrame:
 
 
 def reconcile_long(export: DataFrame, db: DataFrame, missing_status: str = "Mismatch",
-                   weekly_fallbacks: bool = False, scale_suffix: bool = False) -> DataFrame:
+                   weekly_fallbacks: bool = False, scale_suffix: bool = False,
+                   route: str = "sheet") -> DataFrame:
     """Row by row: the exported value, the database value and a status.
 
     export: sheet, row_ord, identifier, metric, value_raw. db: sheet,
     identifier, metric, value, unique per key (see ``override_union``).
+    ``route`` is the column of ``export`` that names a row's sheet in ``db``, where that is
+    another than its own; a null one leads nowhere.
     """
     db = db.select(*KEYS, "value")
-    joined = export.join(db, KEYS, "left")
+    joined = export.join(db.withColumnRenamed("sheet", route), [route, "identifier", "metric"], "left")
     value = F.col("value")
     if weekly_fallbacks:
         joined = with_weekly_fallbacks(joined, db)
@@ -187,14 +190,15 @@ def pivot_metrics(db: DataFrame, metrics: list[str]) -> DataFrame:
     )
 
 
-def reconcile_wide(export: DataFrame, db: DataFrame, metrics: list[str]) -> DataFrame:
+def reconcile_wide(export: DataFrame, db: DataFrame, metrics: list[str], route: str = "sheet") -> DataFrame:
     """The sheet's own layout with the database value and a status per measure.
 
     export: sheet, row_ord, identifier and one text column per metric. Values
     are shown as they are; they are compared rounded. An empty exported cell
-    counts as a match and is marked as not compared.
+    counts as a match and is marked as not compared. ``route`` as in ``reconcile_long``.
     """
-    joined = export.join(pivot_metrics(db, metrics), ["sheet", "identifier"], "left")
+    side = pivot_metrics(db, metrics).withColumnRenamed("sheet", route)
+    joined = export.join(side, [route, "identifier"], "left")
     out = [F.col("sheet"), F.col("row_ord"), F.col("identifier")]
     compared = F.lit(True)
     for m in metrics:

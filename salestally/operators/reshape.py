@@ -289,7 +289,7 @@ def pick_header(headers: list[str], *wanted: str, position: int = 0) -> str:
     return next((by_low[w] for w in wanted if w in by_low), headers[position])
 
 
-_MEASURES = {
+MEASURES = {
     "target": {ACTUAL: "actual sales", TARGET: "targets"},
     "entity": {ACTUAL: "actual sales"},
     "employee": {ACTUAL: "sales"},
@@ -313,7 +313,7 @@ def sheet_wide(df: DataFrame, layout: str | None) -> DataFrame:
     name = _c(pick_header(own, "identifier", "identifier/label", "week"))
     return df.select(
         F.trim("sheet").alias("sheet"), "row_ord", identifier_or_unknown(name).alias("identifier"),
-        *([_text(_c(low[h])).alias(m) for m, h in _MEASURES[layout].items()]
+        *([_text(_c(low[h])).alias(m) for m, h in MEASURES[layout].items()]
           if layout else [F.lit(None).cast("string").alias(ACTUAL)]),
     )
 
@@ -335,7 +335,7 @@ def sheet_cells(df: DataFrame, layout: str, null_as_zero: bool = False) -> DataF
             (F.coalesce(value, F.lit("0")) if null_as_zero else value).alias("value_raw"),
         )
     long = sheet_wide(df, layout).unpivot(
-        ["sheet", "row_ord", "identifier"], list(_MEASURES[layout]), "metric", "value_raw"
+        ["sheet", "row_ord", "identifier"], list(MEASURES[layout]), "metric", "value_raw"
     )
     if null_as_zero:
         return long.withColumn("value_raw", F.coalesce("value_raw", F.lit("0")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salestally import fixed_values as fv
-from salestally.functions.names import single_spaced, sheet_title
+from salestally.functions.names import sheet_title, single_spaced, title_collisions
 from salestally.functions.values import normalised
 from salestally.model import SalesModel
 from salestally.operators import drill, reconcile, report, reshape
@@ -51,44 +51,55 @@ def compare_kpis(export: DataFrame, registry: Registry, model: SalesModel, p: Pa
 
 @dataclass
 class Mapping:
-    """Chosen query per sheet, and the written results to take the cells from."""
+    """Chosen query per sheet, a written table, and the written results of the queries."""
 
     table: DataFrame
-    choice: dict[str, tuple[str, str]]
     results: dict[str, DataFrame]
 
+    def routes(self) -> DataFrame:
+        """The mapping as data: sheet -> query."""
+        return self.table.select("sheet", F.col("sp_name").alias("query"))
+
+    def queries(self) -> list[tuple[str, str]]:
+        """The chosen queries with their shapes: at most as many as the catalogue has."""
+        found = self.table.select("sp_name", "output_pattern").distinct().orderBy("sp_name", "output_pattern")
+        return [tuple(row) for row in found.collect()]
+
 
 def map_sheets(sheets: DataFrame, registry: Registry, model: SalesModel, p: Params,
                names: list[str] | None = None, rules=None, boosts=None) -> Mapping:
     """Profile the sheets, try the catalogue, choose a query per sheet.
 
-    sheets: one row per sheet (sheet, headers, data_volume). The choice, one
-    short row per sheet, comes to the driver to decide which plans to build.
+    sheets: one row per sheet (sheet, headers, data_volume). The choice stays a
+    table; what comes to the driver is which queries of the catalogue it holds.
     """
     found = probe(registry, model, p, names)
     working = [(o, n, shape, rows, cols) for o, n, ok, rows, cols, shape, _, _ in found.rows if ok]
-    table = match_sheets(sheets, working, rules, boosts)
-    choice = {
-        row.sheet: (row.sp_name, row.output_pattern)
-        for row in table.select("sheet", "sp_name", "output_pattern").toLocalIterator()
-    }
-    return Mapping(table, choice, found.results)
+    return Mapping(cut(match_sheets(sheets, working, rules, boosts), "sheet-queries"), found.results)
+
+
+def query_cells(mapping: Mapping) -> DataFrame | None:
+    """Cells of every chosen query under the query's own name, once however many sheets it has."""
+    parts = [reshape.format_result(mapping.results[query], query, shape) for query, shape in mapping.queries()]
+    return reconcile.override_union(parts) if parts else None
 
 
 def mapped_cells(mapping: Mapping) -> DataFrame | None:
-    """Cells of every mapped query under the names of its sheets.
+    """Cells of every mapped query under the names of its sheets."""
+    cells = query_cells(mapping)
+    if cells is None:
+        return None
+    routes = mapping.routes().withColumnRenamed("sheet", "title")
+    return cells.join(routes, F.col("sheet") == F.col("query")).select(
+        F.col("title").alias("sheet"), "identifier", "metric", "value")
 
-    Sheets with the same query share one read of its result.
-    """
-    by_query: dict[tuple[str, str], list[str]] = {}
-    for sheet, choice in mapping.choice.items():
-        by_query.setdefault(choice, []).append(sheet)
-    parts = []
-    for (query, shape), sheets in by_query.items():
-        cells = reshape.format_result(mapping.results[query], "", shape)
-        names = F.explode(F.array(*[F.lit(s) for s in sheets])).alias("sheet")
-        parts.append(cells.select(names, "identifier", "metric", "value"))
-    return reconcile.override_union(parts) if parts else None
+
+def routed(export: DataFrame, mapping: Mapping) -> DataFrame:
+    """``export`` with the query of each row's sheet, null where none was found."""
+    # a single sheet's name can be a constant of the plan, which as a key would leave the join without one
+    name = F.when(F.monotonically_increasing_id() >= 0, F.col("sheet"))
+    routes = mapping.routes().withColumnRenamed("sheet", "title")
+    return export.withColumn("own", name).join(routes, F.col("own") == F.col("title"), "left").drop("own", "title")
 
 
 def compare_mapped(wide: dict[str, DataFrame], sheets: DataFrame, registry: Registry,
@@ -99,20 +110,24 @@ def compare_mapped(wide: dict[str, DataFrame], sheets: DataFrame, registry: Regi
     wide: layout -> export rows in columns; long: cells of the sheets whose
     metrics are data. Returns a wide report per layout, and a long one under
     "metric"; or None when no sheet finds a query.
+
+    Rows meet values on (query, identifier, metric): the plan grows with the layouts and
+    the catalogue, not with the sheets, and a result is there once for all sheets it answers.
     """
     if sheets.isEmpty():
         return None
     pinned = model.pinned(p)
-    cells = mapped_cells(map_sheets(sheets, registry, pinned, p, **match))
+    mapping = map_sheets(sheets, registry, pinned, p, **match)
+    cells = query_cells(mapping)
     if cells is None:
         return None
     db = cut(cells, "db-cells")
     out = {
-        layout: reconcile.reconcile_wide(df, db, WIDE_LAYOUTS[layout])
+        layout: reconcile.reconcile_wide(routed(df, mapping), db, WIDE_LAYOUTS[layout], "query")
         for layout, df in wide.items()
     }
     if long is not None:
-        out["metric"] = reconcile.reconcile_long(long, db)
+        out["metric"] = reconcile.reconcile_long(routed(long, mapping), db, route="query")
     return out
 
 
@@ -161,9 +176,12 @@ def _mapped_or_none(*args) -> dict[str, DataFrame] | None:
 
 
 def compare_landing_any(export: DataFrame, wide: dict[str, DataFrame], sheets: DataFrame,
-                        registry: Registry, model: SalesModel, p: Params):
-    """By profile; when that finds nothing or fails, by the fixed table: (method, result)."""
-    found = _mapped_or_none(wide, sheets, registry, model, p)
+                        registry: Registry, model: SalesModel, p: Params, long: DataFrame | None = None):
+    """By profile; when that finds nothing or fails, by the fixed table: (method, result).
+
+    ``long`` holds the cells of sheets whose metrics are data, which have no wide report.
+    """
+    found = _mapped_or_none(wide, sheets, registry, model, p, long)
     if found is not None:
         return "dynamic_engine", found
     return "legacy", compare_landing(export, registry, model, p)
@@ -209,10 +227,7 @@ def check_landing(export: DataFrame, registry: Registry, model: SalesModel, p: P
 
 
 def bundle_cells(registry: Registry, model: SalesModel, p: Params, queries: list[str]) -> DataFrame:
-    """Cells of several drill-through queries; later ones override earlier ones.
-
-    Sheet names are shortened as they are in the exported files.
-    """
+    """Cells of several drill-through queries under their sheets' full names; later ones override earlier ones."""
     parts = []
     for query in queries:
         try:
@@ -221,16 +236,36 @@ def bundle_cells(registry: Registry, model: SalesModel, p: Params, queries: list
             log.warning("query %s failed", query, exc_info=True)
     if not parts:
         return reshape.no_cells(model.lines)
-    short = [part.withColumn("sheet", sheet_title("sheet")) for part in parts]
-    return reconcile.override_union(short)
+    return reconcile.override_union(parts)
+
+
+def with_titles(db: DataFrame) -> DataFrame:
+    """Cells under their sheets' full names and, where only one of them is so cut, under the cut
+    name that an exported file may have."""
+    names = db.select("sheet").distinct()
+    titles = names.groupBy(sheet_title("sheet").alias("title")).agg(
+        F.count(F.lit(1)).alias("names"), F.max("sheet").alias("full")).where("names = 1 and length(full) > length(title)")
+    short = db.join(titles.select("title", F.col("full").alias("sheet")), "sheet")
+    return db.select(*reconcile.KEYS, "value").unionByName(
+        short.select(F.col("title").alias("sheet"), "identifier", "metric", "value"))
+
+
+def with_shown_titles(report: DataFrame) -> DataFrame:
+    """Sheets shown under their cut names; those that agree so far keep their full ones."""
+    twice = title_collisions(report).select(F.col("title").alias("twice"))
+    return report.join(twice, sheet_title("sheet") == F.col("twice"), "left").withColumn(
+        "sheet", F.when(F.col("twice").isNull(), sheet_title("sheet")).otherwise(F.col("sheet"))).drop("twice")
 
 
 def compare_bundle(export: DataFrame, registry: Registry, model: SalesModel, p: Params,
                    queries: list[str] | None = None) -> DataFrame:
-    """Long report of a drill-through's sheets, with the weekly sheets' other names."""
-    db = cut(bundle_cells(registry, model.pinned(p), p, queries or fv.STORE_BUNDLE), "db-cells")
-    keyed = export.withColumn("sheet", sheet_title("sheet"))
-    return reconcile.reconcile_long(keyed, db, weekly_fallbacks=True)
+    """Long report of a drill-through's sheets, with the weekly sheets' other names.
+
+    Sheets are compared under their full names, so that two that agree in their first letters
+    stay apart; a name that was cut when it was exported still finds its only full one.
+    """
+    db = cut(with_titles(bundle_cells(registry, model.pinned(p), p, queries or fv.STORE_BUNDLE)), "db-cells")
+    return with_shown_titles(reconcile.reconcile_long(export, db, weekly_fallbacks=True))
 
 
 def compare_drill_through(export: DataFrame, wide: dict[str, DataFrame], sheets: DataFrame,
@@ -254,11 +289,12 @@ def compare_drill_through(export: DataFrame, wide: dict[str, DataFrame], sheets:
 def compare_folder(spark, folder: str, title: str, target: str, registry: Registry,
                    model: SalesModel, p: Params | None = None, pattern: str | None = None,
                    stores: dict[str, str] | None = None):
-    """Compare the sheet files of a folder as one drill-through; every sheet is reported."""
+    """Compare the sheet files of a folder as one drill-through; every sheet is reported, those of headers
+    that are not known without values."""
     sheets = exports.read_sheets(spark, folder, pattern)
     if not sheets:
         raise FileNotFoundError(f"no sheets in {folder}")
-    cells = exports.cells_of(spark, sheets)
+    cells = exports.cells_of(spark, sheets, every_row=True)
     shapes = exports.shapes_of_all(sheets)
     wide = wide_layouts(sheets)
     long = metric_cells(sheets)

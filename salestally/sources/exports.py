@@ -8,51 +8,26 @@ from __future__ import annotations
 
 import json
 import os
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from salestally import fixed_values as fv
 from salestally.functions.names import header_text
-from salestally.operators.reshape import layout_of, sheet_cells, union_all
+from salestally.operators.reshape import ACTUAL, layout_of, sheet_cells, sheet_wide, union_all
+from salestally.sources import sheets
+from salestally.sources.paths import decoded, inside, sheet_of, sheet_root
 
 KPI_SCHEMA = "kpi_name string, value_raw string"
 CELL_SCHEMA = "sheet string, row_ord bigint, identifier string, metric string, value_raw string"
 
 
-def decoded(path: Column) -> Column:
-    """Path as it is on disk; the metadata columns are percent-encoded."""
-    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-
-
-_FOLDER_LIKE_FILE = r"\.(csv|parquet|json|orc)$"
-
-
-def sheet_root(path: Column) -> Column:
-    """Path of a sheet: the file's folder where that is named like a file, else the file."""
-    folder = F.regexp_replace(path, "/[^/]*$", "")
-    return F.when(folder.rlike(_FOLDER_LIKE_FILE), folder).otherwise(path)
-
-
-def sheet_of(path: Column) -> Column:
-    """Name of the sheet a file belongs to."""
-    name = F.element_at(F.split(sheet_root(path), "/"), -1)
-    return F.regexp_replace(name, r"\.[^.]*$", "")
-
-
 def file_sheet() -> Column:
     """The sheet of the file a row was read from."""
     return sheet_of(decoded(F.col("_metadata.file_path")))
 
 
-def inside(folder: str, pattern: str | None = None) -> str:
-    """Files or folders of a folder whose names fit a pattern."""
-    return os.path.join(folder, pattern or "*")
-
-
 # --- which files ------------------------------------------------------------------
 
 
@@ -87,32 +62,35 @@ def new_files(files: DataFrame, seen: DataFrame, skip_word: str = fv.KPI_FILE_WO
 def header_groups(spark: SparkSession, folder: str, pattern: str | None = None) -> dict[tuple, list[str]]:
     """Distinct header -> the sheets that have it.
 
-    Sheets are listed, and of each the first line is read; the rows stay where
-    they are. Sheets share a handful of headers, and with one read per header
-    their number does not enter the plan.
+    One job, in which tasks read the first line or the footer of each sheet's first file; the rows
+    stay where they are. Sheets share a handful of headers, and with one read per header their
+    number does not enter the plan.
     """
-    listing = spark.read.format("binaryFile").load(inside(folder, pattern)).filter("length > 0")
-    roots = listing.select(sheet_root(F.col("path")).alias("root")).distinct()
-    paths = sorted(row.root for row in roots.toLocalIterator())
+    place = inside(folder, pattern)
+    listing = spark.read.format("binaryFile").load(place).where("length > 0").select("path")
+    first = listing.groupBy(sheet_root(F.col("path")).alias("root")).agg(F.min("path").alias("path"))
+    heads = sheets.headers_of_files(first)
+    found = heads.where(F.size("headers") > 0).groupBy("headers").agg(F.sort_array(F.collect_list("root")).alias("roots"))
+    return {tuple(row.headers): row.roots for row in found.collect()}
 
-    def header(path: str) -> tuple:
-        return tuple(c.strip() for c in spark.read.option("header", True).csv(path).columns)
 
-    groups: dict[tuple, list[str]] = {}
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        for path, names in zip(paths, pool.map(inheritable_thread_target(spark)(header), paths)):
-            if names:
-                groups.setdefault(names, []).append(path)
-    return groups
+def _read_group(spark: SparkSession, header: tuple, paths: list[str]) -> DataFrame:
+    """Rows of sheets of one header, as text. ``row_ord`` keeps their order inside a file."""
+    columns = [f"`{h.strip()}`" for h in header]
+    schema = ", ".join(f"{c} string" for c in columns)
+    parts = []
+    if csv := [p for p in paths if not is_parquet(p)]:
+        rows = spark.read.schema(schema).option("header", True).csv(csv)
+        parts.append(rows.withColumn("sheet", file_sheet()).withColumn("row_ord", F.monotonically_increasing_id()))
+    if parquet := [p for p in paths if is_parquet(p)]:
+        rows = spark.read.parquet(*parquet)
+        parts.append(rows.select(*[F.col(c).cast("string") for c in columns], file_sheet().alias("sheet"),
+                                 F.col("_metadata.row_index").alias("row_ord")))
+    return union_all(parts)
 
 
-def _read_group(spark: SparkSession, header: tuple, paths: list[str]) -> DataFrame:
-    schema = ", ".join(f"`{h.strip()}` string" for h in header)
-    return (
-        spark.read.schema(schema).option("header", True).csv(paths)
-        .withColumn("sheet", file_sheet())
-        .withColumn("row_ord", F.monotonically_increasing_id())
-    )
+def is_parquet(path: str) -> bool:
+    return path.endswith(".parquet")
 
 
 def read_sheets(spark: SparkSession, folder: str, pattern: str | None = None) -> dict[tuple, DataFrame]:
@@ -125,13 +103,16 @@ def read_sheets(spark: SparkSession, folder: str, pattern: str | None = None) ->
 
 
 def cells_of(spark: SparkSession, sheets: dict[tuple, DataFrame],
-             null_as_zero: bool = False) -> DataFrame:
-    """Cells of the sheets whose layout is known."""
+             null_as_zero: bool = False, every_row: bool = False) -> DataFrame:
+    """Cells of the sheets whose layout is known; with ``every_row`` those of other sheets without a value."""
     parts = []
     for header, df in sheets.items():
         layout = layout_of(list(header))
         if layout:
             parts.append(sheet_cells(df, layout, null_as_zero))
+        elif every_row:
+            parts.append(sheet_wide(df, None).select(
+                "sheet", "row_ord", "identifier", F.lit(ACTUAL).alias("metric"), F.col(f"`{ACTUAL}`").alias("value_raw")))
     return union_all(parts) if parts else spark.createDataFrame([], CELL_SCHEMA)
 
 

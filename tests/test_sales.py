@@ -83,7 +83,7 @@ def test_drill_target():
     assert drill.target_params("Top Stores by Sales", "Love Library").store == "717"
     assert drill.target_params("Top Stores by Sales", "720").store == "720"
     assert drill.target_params("Top Brands by Sales", "CRC Press").brand == "CRC Press"
-    assert drill.target_params("Weekly Trends", "Week1").week == "Week1"
+    assert drill.target_params("Weekly Trends", "Week1").year_week == "Week1"
     assert drill.target_params("Other", "Thing") == Params(year=2024)
 
 
