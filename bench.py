@@ -29,7 +29,7 @@ def queries(spark):
     r = default_registry()
 
     def landing():
-        db = comparisons.landing_values(r, model.pinned(P), P)
+        db = comparisons.landing_values(r, model.cubed(P), P)
         export = db.withColumnRenamed("value", "value_raw").selectExpr(
             "sheet", "cast(0 as bigint) row_ord", "identifier", "metric", "value_raw")
         drain(reconcile.reconcile_long(export, db))

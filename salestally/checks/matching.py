@@ -199,6 +199,30 @@ def _(m):
     return reshape.union_all(parts).groupBy("sheet", "metric", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+_CUBE_QUERIES = ["SP_SalesTrend", "SP_TopPerformingEmployee", "SP_TopProductsBySales", "SP_WeekdayWeekendSales", "SP_WeekwiseSalesComparison",
+                 "SP_TopStoresbySales", "SP_TopBrandsBySales", "SP_TopCategoriesBySaleswidget", "SP_TopSubCategoriesBySales",
+                 "SP_WeeklyTrendswidget", "SP_StorewiseActualVsTarget_Vertical_SortedByActual", "SP_TopProductsBySaleswidget"]
+
+
+@model_check("catalogue_cube", with_fact(cx.sheet_cells_sql({q: q for q in _CUBE_QUERIES})))
+def _(m):
+    """Twelve queries of the catalogue, all from one table of sums."""
+    cubed, r = m.cubed(P), default_registry()
+    results = {q: r.call(q, cubed, P, ordered=False) for q in _CUBE_QUERIES}
+    cells = [reshape.format_result(df, q, match.output_shape_of(df.columns)) for q, df in results.items()]
+    return reshape.union_all(cells).select("sheet", "identifier", "metric", "value")
+
+
+@model_check("catalogue_cube_of_a_state", with_fact(cx.sheet_cells_sql({q: q for q in _CUBE_QUERIES[:6]}, "state = 'NATION_3' AND channel = '1-URGENT'")))
+def _(m):
+    """The same with the parameters' filters in the sums."""
+    p = P.override(state="NATION_3", channel="1-URGENT")
+    cubed, r = m.cubed(p), default_registry()
+    results = {q: r.call(q, cubed, p, ordered=False) for q in _CUBE_QUERIES[:6]}
+    cells = [reshape.format_result(df, q, match.output_shape_of(df.columns)) for q, df in results.items()]
+    return reshape.union_all(cells).select("sheet", "identifier", "metric", "value")
+
+
 # copies of the seven landing sheets and a sheet whose metrics are data, under names of their own
 _COPIES = 60
 _METRIC_SHEET = "Sales Summary_Sales Trends by Metric"

@@ -66,6 +66,7 @@ class SalesModel:
     products: product_key, product, brand, category, sub_category
     customers: customer_key, customer
     facts: the joined facts when they have been written once (``pinned``)
+    cube: sums of one set of parameters by every key that queries group by (``cubed``)
     """
 
     lines: DataFrame
@@ -76,6 +77,7 @@ class SalesModel:
     products: DataFrame
     customers: DataFrame
     facts: DataFrame | None = None
+    cube: "Cube | None" = None
 
     @property
     def spark(self) -> SparkSession:
@@ -155,6 +157,43 @@ class SalesModel:
         """Rows whose sums per day or customer are right, in the cheapest form."""
         return self.line_sales(p, compare) if self.facts is not None else self.bills(p, compare)
 
+    # --- sums ---------------------------------------------------------------
+
+    def sums(self, p: Params, *keys: str, compare: bool = False) -> DataFrame:
+        """``now``, ``before`` and ``units`` (of the period) summed by keys of one of the sets in ``CUBE_SETS``.
+
+        From the cube they come by the whole set, and what asks for fewer keys sums them up. Without ``compare`` only keys that occur in the period, and no ``before``. Read
+        from the cube where there is one for these parameters, else summed from the facts, in
+        the cheapest form for the keys.
+        """
+        own = next((i for i, every in enumerate(CUBE_SETS) if set(keys) <= set(every)), None)
+        if own is None:
+            raise ValueError(f"no sums by {keys}")
+        if self.cube is not None and self.cube.params == p:
+            rows = self.cube.rows.where(F.col("kind") == own)
+            if compare:
+                return rows.select(*keys, "now", "before", "units")
+            return rows.where("bought > 0").select(*keys, "now", "units")
+        by_order = set(keys) <= {"customer_key", "day"}
+        rows = self.day_sales(p, compare) if by_order else self.line_sales(p, compare)
+        return _measured(rows, p, compare).groupBy(*keys).agg(*_cube_sums(compare))
+
+    def cubed(self, p: Params) -> "SalesModel":
+        """The sums of ``p``, both years, by all sets of keys, in one pass over the facts.
+
+        The catalogue's queries read this table instead of the facts: each of them the rows of
+        its own set, which lie in a folder of their own. Rows are summed in each task before
+        they move, once per set, so a hot product or store costs one row per task.
+        """
+        columns = list(dict.fromkeys(k for keys in CUBE_SETS for k in keys))
+        rows = _measured(self.line_sales(p, compare=True), p, True)
+        sums = rows.groupingSets([[F.col(k) for k in keys] for keys in CUBE_SETS], *[F.col(k) for k in columns]).agg(
+            *_cube_sums(True), F.count_if(F.col("current")).alias("bought"), F.grouping_id().alias("id"))
+        # the id has a bit for each column that a set lacks, the first column's highest
+        ids = [sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in keys) for keys in CUBE_SETS]
+        kind = F.array_position(F.array(*[F.lit(i).cast("bigint") for i in ids]), F.col("id")) - 1
+        return replace(self, cube=Cube(p, cut(sums.withColumn("kind", kind.cast("int")).drop("id"), "cube", "kind")))
+
     def pinned(self, p: Params, compare: bool = True) -> "SalesModel":
         """The joined facts of a period and scope written once, for several queries.
 
@@ -171,6 +210,32 @@ class SalesModel:
         return replace(self, facts=cut(facts, "facts"))
 
 
+# the keys by which queries sum, each a set of the cube
+CUBE_SETS = [("product_key", "month"), ("store_key",), ("customer_key",), ("day",)]
+
+
+@dataclass(frozen=True)
+class Cube:
+    """Sums of the facts in the scope of ``params``: a row per key of every set, marked by ``kind``."""
+
+    params: Params
+    rows: DataFrame
+
+
+def _measured(rows: DataFrame, p: Params, compare: bool) -> DataFrame:
+    return rows.withColumns({
+        "day": F.to_date("order_ts"), "month": F.month("order_ts"),
+        "current": is_current(p) if compare else F.lit(True)})
+
+
+def _cube_sums(compare: bool) -> list[Column]:
+    now = F.col("current")
+    if not compare:
+        return [F.sum("sales").alias("now"), F.sum("units").alias("units")]
+    return [F.sum(F.when(now, F.col("sales"))).alias("now"), F.sum(F.when(~now, F.col("sales"))).alias("before"),
+            F.sum(F.when(now, F.col("units"))).alias("units")]
+
+
 def is_current(p: Params) -> Column:
     """Whether a row of a two-year read belongs to the period itself."""
     return F.coalesce(in_period(p, F.col("order_ts")), F.lit(True))

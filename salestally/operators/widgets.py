@@ -11,7 +11,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salestally.model import MONEY, SalesModel, amount, is_current, money, pieces
+from salestally.model import MONEY, SalesModel, amount, money, pieces
 from salestally.params import Params
 
 
@@ -36,21 +36,21 @@ def _money(c: Column) -> Column:
 
 def top_stores(model: SalesModel, p: Params, n: int | None = None,
                ordered: bool = True) -> DataFrame:
-    by_key = model.line_sales(p).groupBy("store_key").agg(_total().alias("sales"))
+    by_key = model.sums(p, "store_key")
     named = (
         by_key.join(model.stores, "store_key")
         .groupBy(F.col("store").alias("Identifier"))
-        .agg(_money(_total()).alias("Actual Sales"))
+        .agg(_money(F.sum("now")).alias("Actual Sales"))
     )
     return _ranked(named, "Actual Sales", "Identifier", n, ordered)
 
 
 def _top_by_product_column(model, p, column: str, label: str, n, ordered) -> DataFrame:
-    by_key = model.line_sales(p).groupBy("product_key").agg(_total().alias("sales"))
+    by_key = model.sums(p, "product_key")
     named = (
         by_key.join(model.products, "product_key")
         .groupBy(F.col(column).alias(label))
-        .agg(_money(_total()).alias("Sales"))
+        .agg(_money(F.sum("now")).alias("Sales"))
     )
     return _ranked(named, "Sales", label, n, ordered)
 
@@ -77,11 +77,11 @@ def top_products(model: SalesModel, p: Params, n: int | None = None,
 
 def top_employees(model: SalesModel, p: Params, n: int | None = None,
                   ordered: bool = True) -> DataFrame:
-    by_key = model.day_sales(p).groupBy("customer_key").agg(_total().alias("sales"))
+    by_key = model.sums(p, "customer_key")
     named = (
         by_key.join(model.customers, "customer_key")
         .groupBy(F.col("customer").alias("EmployeeName"))
-        .agg(_money(_total()).alias("Sales"))
+        .agg(_money(F.sum("now")).alias("Sales"))
     )
     return _ranked(named, "Sales", "EmployeeName", n, ordered)
 
@@ -90,10 +90,9 @@ def top_employees(model: SalesModel, p: Params, n: int | None = None,
 
 
 def _two_years(model: SalesModel, p: Params, keys: list[Column]) -> DataFrame:
-    now = is_current(p)
-    return model.day_sales(p, compare=True).groupBy(*keys).agg(
-        _money(F.sum(F.when(now, F.col("sales")))).alias("CurrentYearSales"),
-        _money(F.sum(F.when(~now, F.col("sales")))).alias("PreviousYearSales"),
+    return model.sums(p, "day", compare=True).groupBy(*keys).agg(
+        _money(F.sum("now")).alias("CurrentYearSales"),
+        _money(F.sum("before")).alias("PreviousYearSales"),
     )
 
 
@@ -107,7 +106,7 @@ def week_of_month(day: Column) -> Column:
 
 
 def weekly_trends(model: SalesModel, p: Params) -> DataFrame:
-    by_week = _two_years(model, p, [week_of_year(F.col("order_ts")).alias("n")])
+    by_week = _two_years(model, p, [week_of_year(F.col("day")).alias("n")])
     return by_week.orderBy("n").select(
         F.concat(F.lit("Week"), F.col("n").cast("string")).alias("Week"),
         "CurrentYearSales", "PreviousYearSales",
@@ -115,12 +114,12 @@ def weekly_trends(model: SalesModel, p: Params) -> DataFrame:
 
 
 def weekwise_comparison(model: SalesModel, p: Params) -> DataFrame:
-    label = F.concat(F.lit("Week"), week_of_month(F.col("order_ts")).cast("string"))
+    label = F.concat(F.lit("Week"), week_of_month(F.col("day")).cast("string"))
     return _two_years(model, p, [label.alias("Week")]).orderBy("Week")
 
 
 def monthly_trend(model: SalesModel, p: Params) -> DataFrame:
-    day = F.col("order_ts")
+    day = F.col("day")
     by_month = _two_years(
         model, p, [F.month(day).alias("n"), F.date_format(day, "MMM").alias("Month")]
     )
@@ -128,7 +127,7 @@ def monthly_trend(model: SalesModel, p: Params) -> DataFrame:
 
 
 def weekday_weekend(model: SalesModel, p: Params) -> DataFrame:
-    label = F.when(F.dayofweek("order_ts").isin(1, 7), "WEEKEND SALES").otherwise("WEEKDAY SALES")
+    label = F.when(F.dayofweek("day").isin(1, 7), "WEEKEND SALES").otherwise("WEEKDAY SALES")
     return _two_years(model, p, [label.alias("WeekCategory")]).orderBy("WeekCategory")
 
 
@@ -142,15 +141,7 @@ _TREND_LABELS = {
 
 def dimension_trend(model: SalesModel, p: Params, dimension: str) -> DataFrame:
     """Month by month for each brand, category, sub-category or product."""
-    now = is_current(p)
-    by_key = (
-        model.line_sales(p, compare=True)
-        .groupBy("product_key", F.month("order_ts").alias("n"))
-        .agg(
-            F.sum(F.when(now, F.col("sales"))).alias("now"),
-            F.sum(F.when(~now, F.col("sales"))).alias("before"),
-        )
-    )
+    by_key = model.sums(p, "product_key", "month", compare=True).withColumnRenamed("month", "n")
     label = _TREND_LABELS[dimension]
     month = F.date_format(F.make_date(F.lit(2000), F.col("n"), F.lit(1)), "MMM")
     return (
@@ -175,15 +166,11 @@ def store_targets(model: SalesModel, p: Params, targets: DataFrame | None = None
     previous year's sales plus ten percent.
     """
     if targets is None:
-        now = is_current(p)
-        by_key = model.line_sales(p, compare=True).groupBy("store_key").agg(
-            F.sum(F.when(now, F.col("sales"))).alias("sales"),
-            F.sum(F.when(~now, F.col("sales"))).alias("before"),
-        )
+        by_key = model.sums(p, "store_key", compare=True).withColumnRenamed("now", "sales")
         target = (amount(F.sum("before")) * F.lit(Decimal("1.10"))).cast(MONEY)
     else:
         by_key = (
-            model.line_sales(p).groupBy("store_key").agg(_total().alias("sales"))
+            model.sums(p, "store_key").withColumnRenamed("now", "sales")
             .join(targets.select("store_key", "target"), "store_key", "left")
         )
         target = F.sum("target").cast(MONEY)

@@ -1,15 +1,18 @@
 """Whole comparisons: KPIs, landing sheets, drill-throughs.
 
-Each plan writes the facts of its period once, runs every query it needs a
-single time on them, and hands written query results to the comparison.
+Each plan sums the facts of its parameters once, by every key that its queries group
+by, runs each query a single time on those sums (queries that need more than sums run
+on the facts, written once), and hands written query results to the comparison.
 """
 
 from __future__ import annotations
 
 import logging
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,7 +119,7 @@ def compare_mapped(wide: dict[str, DataFrame], sheets: DataFrame, registry: Regi
     """
     if sheets.isEmpty():
         return None
-    pinned = model.pinned(p)
+    pinned = model.pinned(p).cubed(p)
     mapping = map_sheets(sheets, registry, pinned, p, **match)
     cells = query_cells(mapping)
     if cells is None:
@@ -140,18 +143,24 @@ def landing_values(registry: Registry, model: SalesModel, p: Params,
 
     A query that fails is one cell with the value Error; the others go on.
     """
-    parts = []
-    for sheet, query in (table or fv.LANDING_SHEETS).items():
+    def values(sheet: str, query: str) -> DataFrame:
         try:
             cells = reshape.landing_cells(registry.call(query, model, p, ordered=False), sheet.strip())
-            parts.append(cut(cells, f"query-{query}"))  # written here, so that it fails here if it fails
+            return cut(cells, f"query-{query}")  # written here, so that it fails here if it fails
         except Exception:  # one bad query must not end the run
             log.warning("query %s failed", query, exc_info=True)
-            parts.append(model.spark.range(1).select(
+            return model.spark.range(1).select(
                 F.lit(sheet.strip()).alias("sheet"), F.lit(None).cast("string").alias("identifier"),
                 F.lit(ACTUAL).alias("metric"), F.lit("Error").alias("value"),
-            ))
-    return reconcile.override_union(parts)
+            )
+
+    return reconcile.override_union(_each(model, values, (table or fv.LANDING_SHEETS).items()))
+
+
+def _each(model: SalesModel, make, items, workers: int = 4) -> list:
+    """``make`` of every item, a few at a time: small queries leave most of a cluster idle."""
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        return list(pool.map(inheritable_thread_target(model.spark)(lambda item: make(*item)), list(items)))
 
 
 def compare_landing(export: DataFrame, registry: Registry, model: SalesModel, p: Params,
@@ -160,7 +169,7 @@ def compare_landing(export: DataFrame, registry: Registry, model: SalesModel, p:
     table = table or fv.LANDING_SHEETS
     widget = F.coalesce(reconcile.sheet_widget(F.col("sheet"), list(table)), F.col("sheet"))
     keyed = export.withColumn("sheet", widget)
-    db = landing_values(registry, model.pinned(p), p, table)
+    db = landing_values(registry, model.cubed(p), p, table)
     if normalise:
         db = normalised_cells(db)
     return reconcile.reconcile_long(keyed, cut(db, "db-cells"))
@@ -211,7 +220,7 @@ def check_landing(export: DataFrame, registry: Registry, model: SalesModel, p: P
     """Landing comparison with fresh dates, key sets, value kinds and a preview."""
     if as_of is not None:
         p = p.fresh(as_of)
-    raw = cut(landing_values(registry, model.pinned(p), p), "db-cells")
+    raw = cut(landing_values(registry, model.cubed(p), p), "db-cells")
     tidy = cut(normalised_cells(raw), "db-tidy")
     sides = reconcile.key_sides(export, raw)
     return LandingCheck(
@@ -228,12 +237,14 @@ def check_landing(export: DataFrame, registry: Registry, model: SalesModel, p: P
 
 def bundle_cells(registry: Registry, model: SalesModel, p: Params, queries: list[str]) -> DataFrame:
     """Cells of several drill-through queries under their sheets' full names; later ones override earlier ones."""
-    parts = []
-    for query in queries:
+    def cells(query: str) -> DataFrame | None:
         try:
-            parts.append(cut(reshape.drill_cells(registry.call(query, model, p, ordered=False), query), f"query-{query}"))
+            return cut(reshape.drill_cells(registry.call(query, model, p, ordered=False), query), f"query-{query}")
         except Exception:  # a missing query leaves its sheet without values
             log.warning("query %s failed", query, exc_info=True)
+            return None
+
+    parts = [part for part in _each(model, cells, [(q,) for q in queries]) if part is not None]
     if not parts:
         return reshape.no_cells(model.lines)
     return reconcile.override_union(parts)
@@ -264,7 +275,7 @@ def compare_bundle(export: DataFrame, registry: Registry, model: SalesModel, p:
     Sheets are compared under their full names, so that two that agree in their first letters
     stay apart; a name that was cut when it was exported still finds its only full one.
     """
-    db = cut(with_titles(bundle_cells(registry, model.pinned(p), p, queries or fv.STORE_BUNDLE)), "db-cells")
+    db = cut(with_titles(bundle_cells(registry, model.cubed(p), p, queries or fv.STORE_BUNDLE)), "db-cells")
     return with_shown_titles(reconcile.reconcile_long(export, db, weekly_fallbacks=True))
 
 

@@ -66,15 +66,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(work_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a result once and read it back.
+def cut(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write a result once and read it back, in folders by the columns ``by``.
 
     Used where a plan reads the same result several times. The table lies in
     shared storage, so a lost executor costs a re-read and no recomputation,
     and the readers see exact sizes, which AQE needs to choose joins.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -129,3 +129,34 @@ def test_hot_order_by_bill(spark, conf):
         tables["orders"].filter("year(o_orderdate) = 1996"), F.col("l_orderkey") == F.col("o_orderkey")).count()
     assert row["Total Units Sold"] == 2 * sold
     assert row["Total Customers"] <= 300
+
+
+def test_catalogue_reads_the_facts_once(model, tmp_path):
+    """One scan of lines and orders fills the cube; the queries read their own part of it."""
+    from salestally.operators import reshape
+    from salestally.plans import comparisons
+    from salestally.sources.registry import default_registry
+
+    cubed, r = model.cubed(P), default_registry()
+    for name in ("SP_TopStoresbySales", "SP_TopBrandsBySales", "SP_WeeklyTrendswidget", "SP_BrandTrends", "SP_TopPerformingEmployee"):
+        text = plan(r.call(name, cubed, P, ordered=False))
+        assert "lineitem" not in text and "PartitionFilters: [isnotnull(kind" in text, name
+    assert "lineitem" in plan(r.call("SP_TopStoresbySales", cubed, P.override(store="3"), ordered=False))
+    cells = comparisons.landing_values(r, cubed, P)
+    assert "lineitem" not in plan(cells) and cells.count() > 0
+    for name in ("SP_TopStoresbySales", "SP_WeekdayWeekendSales", "SP_CategoryTrends", "SP_StorewiseActualVsTarget_Vertical_SortedByActual"):
+        assert r.call(name, cubed, P).collect() == r.call(name, model, P).collect()
+    assert reshape.pick_columns(["Store"])
+
+
+def test_hot_product_is_summed_before_it_moves(spark):
+    """A third of all lines in one product and one store: each task sends one row per key and set."""
+    m, _ = hot_model(spark, 20000)
+    p = P.override(year=1996)
+    cubed = m.cubed(p)
+    counts = {r.kind: r.n for r in cubed.cube.rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert counts[1] == 20 and counts[0] <= 50 * 12 and counts[3] <= 366
+    assert widgets.top_products(cubed, p).collect() == widgets.top_products(m, p).collect()
+    assert widgets.top_employees(cubed, p).collect() == widgets.top_employees(m, p).collect()
+    text = plan(m.sums(p, "store_key"))
+    assert "partial_sum" in text
