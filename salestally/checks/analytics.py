@@ -165,7 +165,6 @@ for _name, _label in [("total_sales", "Total Sales"), ("total_units", "Total Uni
         lambda m, k=_label: kpis.kpi(m, P, k))
 model_check("kpi_new_customers", with_fact(new_sql()))(lambda m: kpis.new_customers(m, P))
 model_check("kpi_sales_per_area", with_fact(area_sql()))(lambda m: kpis.sales_per_area(m, P))
-model_check("kpi_total_customers_approx")(lambda m: kpis.approx_customers(m, P))
 model_check("kpi_set", with_fact(kpi_rows()))(lambda m: kpis.kpi_set(m, P))
 model_check("kpi_with_period", with_fact(
     f"""SELECT kpi_name AS "KPI_Name", value AS "Value", '{YEAR}-01-01 to {YEAR + 1}-01-01' AS "Period"

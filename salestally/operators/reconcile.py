@@ -272,34 +272,38 @@ def first_keys(cells: DataFrame, n: int = 10) -> DataFrame:
     return first.unionByName(more)
 
 
+GRAM = 3  # letters of a gram in the index of keys
+
+
+def _grams(text: str, size: Column) -> Column:
+    """The distinct substrings of a size; a text that is shorter has none, and every text has the empty one."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda start: F.substring(F.col(text), start, size)))
+
+
 def near_keys(missing: DataFrame, db: DataFrame, n: int = 3) -> DataFrame:
     """For identifiers without a hit: the first keys that contain them.
 
-    missing: identifier. db: cells. Containment becomes equality: each key is
-    cut into its substrings of the lengths that occur among the identifiers,
-    and substrings are joined with identifiers. Per substring only the first
-    keys are kept before anything is shuffled, so a text that all keys share
-    costs no more than a rare one.
+    missing: identifier. db: cells. Keys are indexed by their grams of three letters (of fewer
+    where an identifier is shorter). An identifier asks the index for one gram only, the one
+    that the fewest keys have, and what that gives is compared with it. Each task keeps the first keys
+    of an identifier before rows move, so a text that all keys share costs a few rows per task.
     """
-    wanted = missing.select("identifier").distinct()
-    keys = db.select(compare_key("sheet", "identifier", "metric").alias("near_key")).distinct()
-    # no more lengths than the longest identifier has letters
-    lengths = wanted.select(F.length("identifier").alias("len")).distinct().orderBy("len")
-    sizes = [row.len for row in lengths.collect()]
+    wanted = missing.select("identifier").distinct().where(F.col("identifier").isNotNull())
+    keys = db.select(compare_key("sheet", "identifier", "metric").alias("near_key")).distinct().where(F.col("near_key").isNotNull())
+    size = F.least(F.length("identifier"), F.lit(GRAM))
+    asked = wanted.withColumn("gram", F.explode(_grams("identifier", size)))
+    # only sizes that are asked for are indexed: four numbers at most
+    sizes = sorted(r.size for r in wanted.select(size.alias("size")).distinct().collect())
     if not sizes:
         return keys.select("near_key", F.lit("").alias("identifier"), F.lit(0).alias("rank")).limit(0)
-    cuts = F.flatten(F.transform(
-        F.array(*[F.lit(s) for s in sizes]),
-        lambda size: F.transform(
-            F.when(F.length("near_key") >= size, F.sequence(F.lit(1), F.length("near_key") - size + 1))
-            .otherwise(F.array().cast("array<int>")),
-            lambda start: F.substring(F.col("near_key"), start, size),
-        ),
-    ))
-    pieces = keys.select("near_key", F.explode(F.array_distinct(cuts)).alias("identifier"))
-    hits = pieces.join(wanted, "identifier", "left_semi")
+    index = keys.select("near_key", F.explode(F.flatten(F.array(*[_grams("near_key", F.lit(s)) for s in sizes]))).alias("gram"))
+    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("keys"))
+    rarest = asked.join(counts, "gram", "left").groupBy("identifier").agg(
+        F.min_by("gram", F.struct(F.coalesce("keys", F.lit(0)), "gram")).alias("gram"))
+    hits = index.join(rarest, "gram").where(F.contains(F.col("near_key"), F.col("identifier")))
     rank = F.row_number().over(Window.partitionBy("identifier").orderBy("near_key"))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= n)
+    return hits.select("near_key", "identifier").withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
 # --- names of sheets ------------------------------------------------------------------------------

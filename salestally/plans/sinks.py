@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from salestally.functions.names import sheet_title
 from salestally.operators import report
@@ -30,6 +31,43 @@ def write_by_sheet(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "
     writer.format(fmt).save(path)
 
 
+# --- runs ---------------------------------------------------------------------------------
+
+_RUNS = "run string, seq bigint, n_rows bigint"
+
+
+def write_run(df: DataFrame, path: str, run: str, seq: int) -> None:
+    """Write a report as one run of several.
+
+    Rows go into a folder of the run and replace what a lost attempt left there; only then a line
+    about the run is written, also in a folder of its own. Readers follow these lines, so rows of an
+    attempt that did not end are never seen, and a run that is repeated counts once. ``seq`` orders runs.
+    """
+    spark = df.sparkSession
+    counted = Observation()
+    df.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(os.path.join(path, "rows", f"run={run}"))
+    done = spark.createDataFrame([(seq, counted.get["n"])], "seq bigint, n_rows bigint")
+    done.write.mode("overwrite").parquet(os.path.join(path, "done", f"run={run}"))
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """run, seq, n_rows of the runs that ended."""
+    return spark.read.schema(_RUNS).parquet(os.path.join(path, "done"))
+
+
+def read_latest_run(spark: SparkSession, path: str, schema, column: str = "sheet") -> DataFrame:
+    """Rows of each sheet from the last ended run that has it.
+
+    The list of runs is one row each and decides on the folders; a run of which a sheet is no
+    part leaves that sheet as it was.
+    """
+    runs = read_runs(spark, path)
+    rows = spark.read.schema(StructType([*schema, StructField("run", StringType())])).parquet(os.path.join(path, "rows"))
+    known = rows.join(runs.select("run", "seq"), "run")
+    last = known.groupBy(F.col(column).alias("of")).agg(F.max("seq").alias("last"))
+    return known.join(last, F.col(column).eqNullSafe(F.col("of")) & (F.col("seq") == F.col("last"))).drop("of", "last", "seq", "run")
+
+
 def write_long_report(long: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Identifier/Label, Metric, Excel Value, DB Value, Status per sheet."""
     named = long.select(
