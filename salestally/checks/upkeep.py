@@ -13,10 +13,11 @@ from salestally.checks import cells as cx
 from salestally.checks.analytics import new_sql
 from salestally.checks.base import P, YEAR, check, model_check, with_fact
 from salestally.model import bind_folder, read_table
-from salestally.operators import checksums, drill, kpis, maintained, reconcile, reshape, widgets
+from salestally.operators import checksums, drill, kpis, maintained, match, reconcile, reshape, widgets
 from salestally.params import Params
 from salestally.plans import comparisons, sinks
 from salestally.session import cut, scratch
+from salestally.sources import sql_functions
 from salestally.sources.registry import default_registry, kpi_values, probe
 
 # --- customers by sketch, new customers by increments ------------------------------------------
@@ -120,6 +121,41 @@ def _(spark, folder):
     return sinks.read_latest_run(spark, path, products.schema)
 
 
+# --- queries as SQL functions ------------------------------------------------------------------------
+
+_SQL_QUERIES = ["SP_SalesTrend", "SP_TopPerformingEmployee", "SP_TopProductsBySales", "SP_WeekdayWeekendSales", "SP_WeekwiseSalesComparison",
+                "SP_TopStoresbySales", "SP_TopBrandsBySales", "SP_TopCategoriesBySaleswidget", "SP_TopSubCategoriesBySales",
+                "SP_WeeklyTrendswidget", "SP_StorewiseActualVsTarget_Vertical_SortedByActual", "SP_TopProductsBySaleswidget"]
+
+
+def _called(m, arguments: str, names=tuple(_SQL_QUERIES)):
+    sql_functions.register(m.spark, m)
+    parts = []
+    for name in names:
+        result = m.spark.sql(f"SELECT * FROM {name}({arguments})")
+        parts.append(reshape.format_result(result, name, match.output_shape_of(result.columns)))
+    return reshape.union_all(parts).select("sheet", "identifier", "metric", "value")
+
+
+model_check("sql_table_function", with_fact(cx.sheet_cells_sql({q: q for q in _SQL_QUERIES})))(
+    lambda m: _called(m, f"year => {YEAR}"))
+model_check("sql_table_function_by_position", with_fact(cx.sheet_cells_sql(
+    {q: q for q in _SQL_QUERIES[:8]}, "state = 'NATION_3' AND channel = '1-URGENT'")))(
+    lambda m: _called(m, f"{YEAR}, NULL, NULL, 'NATION_3', '1-URGENT'", _SQL_QUERIES[:8]))
+
+
+@model_check("sql_table_function_kpis", with_fact(
+    f"""SELECT CAST(CAST(sum(s) AS DECIMAL(28,2)) AS DOUBLE) AS total, CAST(count(DISTINCT bill) AS DOUBLE) AS bills,
+  CAST(count(DISTINCT customer_key) AS DOUBLE) AS customers FROM fact WHERE y = {YEAR} AND month(d) = 5"""))
+def _(m):
+    """KPIs inside a query of the caller's own, their parameters bound as named markers."""
+    sql_functions.register(m.spark, m)
+    return m.spark.sql(
+        """SELECT (SELECT Value FROM N_GetFilteredSalesData(:year, month => :month)) AS total,
+             (SELECT Value FROM SP_TotalBillsKPI(:year, month => :month)) AS bills,
+             (SELECT Value FROM TotalCustomersKPI(month => :month, year => :year)) AS customers""", args={"year": YEAR, "month": 5})
+
+
 # --- what fails, and dates ------------------------------------------------------------------------------
 
 

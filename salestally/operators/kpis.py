@@ -58,23 +58,17 @@ def new_customers(model: SalesModel, p: Params) -> DataFrame:
     return first.agg(count.cast(MONEY).alias("Value"))
 
 
-def sales_per_area(model: SalesModel, p: Params, areas: DataFrame | None = None) -> DataFrame:
-    """Sales over the floor area of the stores in scope, each store once.
-
-    ``areas`` (store_key, area) replaces the area of the store table. Both
-    totals are one row; they meet in a union and a final sum, not in a join.
-    """
+def floor_area(model: SalesModel, p: Params, areas: DataFrame | None = None) -> DataFrame:
+    """(area) of the stores in scope, each store once; ``areas`` (store_key, area) replaces that of the store table."""
     stores = model.scoped_stores(p).select("store_key", "area")
     if areas is not None:
         stores = stores.drop("area").join(areas, "store_key")
-    sold = model.bills(p).agg(F.sum("sales").alias("sales"), F.lit(0).cast("bigint").alias("area"))
-    floor = stores.agg(
-        F.lit(0).cast("decimal(28,0)").alias("sales"), F.sum("area").cast("bigint").alias("area")
-    )
-    return (
-        sold.unionByName(floor)
-        .agg(F.try_divide(amount(F.sum("sales")), F.sum("area")).cast(MONEY).alias("Value"))
-    )
+    return stores.agg(F.sum("area").cast("bigint").alias("area"))
+
+
+def sales_per_area(model: SalesModel, p: Params, areas: DataFrame | None = None) -> DataFrame:
+    """Sales over the floor area of the stores in scope."""
+    return kpi_set(model, p, ["Sales per Sqft"], areas).select(F.col("value").alias("Value"))
 
 
 def kpi(model: SalesModel, p: Params, label: str, areas: DataFrame | None = None) -> DataFrame:
@@ -88,12 +82,25 @@ def kpi(model: SalesModel, p: Params, label: str, areas: DataFrame | None = None
 
 def kpi_set(model: SalesModel, p: Params, labels: list[str] | None = None,
             areas: DataFrame | None = None) -> DataFrame:
-    """All wanted KPIs as (kpi_name, value); those over bills share one pass."""
+    """All wanted KPIs as (kpi_name, value); those over bills, sales per area among them, share one pass.
+
+    Totals and floor area are one row each; they meet in a union and a final aggregation, not in a join.
+    """
     labels = labels or list(fv.LANDING_KPIS)
     shared = [k for k in labels if k in _AGGREGATES]
-    parts = [bill_kpis(model, p, shared)] if shared else []
+    parts = []
+    if per_area := "Sales per Sqft" in labels:
+        floor = floor_area(model, p, areas)
+        totals = model.bills(p).agg(*[_AGGREGATES[k]().alias(k) for k in shared], F.sum("sales").alias("sold"))
+        both = totals.withColumn("area", F.lit(None).cast("bigint")).unionByName(
+            floor.select(*[F.lit(None).cast(MONEY).alias(k) for k in shared], F.lit(None).cast("decimal(28,0)").alias("sold"), "area"))
+        row = both.agg(*[F.max(f"`{k}`").alias(k) for k in shared],
+                       F.try_divide(amount(F.max("sold")), F.max("area")).cast(MONEY).alias("Sales per Sqft"))
+        parts.append(_unpivot(row, [*shared, "Sales per Sqft"]))
+    elif shared:
+        parts.append(bill_kpis(model, p, shared))
     for label in labels:
-        if label not in _AGGREGATES:
+        if label not in _AGGREGATES and not (per_area and label == "Sales per Sqft"):
             parts.append(
                 kpi(model, p, label, areas).select(
                     F.lit(label).alias("kpi_name"), F.col("Value").alias("value")

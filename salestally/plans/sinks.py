@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from salestally.functions.names import sheet_title
 from salestally.operators import report
+from salestally.session import cut
 
 
 def write_by_sheet(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
@@ -86,7 +87,8 @@ def write_wide_report(wide: dict[str, DataFrame], path: str, fmt: str = "parquet
 
 
 def write_kpi_report(kpis: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """The comparison and its summary, two outputs."""
+    """The comparison and its summary, two outputs of one run of it."""
+    kpis = cut(kpis, "kpi-report")
     named = kpis.select(
         F.col("kpi_name").alias("KPI Name"), F.col("excel_value").alias("Excel Value"),
         F.col("db_value").alias("DB Value"), F.col("status").alias("Status"),

@@ -161,11 +161,15 @@ def sample_rows(rows: DataFrame, headers: list[str], n: int = 3) -> DataFrame:
 
 
 def read_kpis(spark: SparkSession, path: str) -> DataFrame:
-    """KPI list with a header line: names and values trimmed."""
+    """KPI list with a header line: names and values trimmed.
+
+    ``ord`` is the place of a line: its file, its block of the file and its number among those that a
+    task read, so that the last of equal names is the last in the files' order.
+    """
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
     return (
         spark.read.schema(KPI_SCHEMA).option("header", True).csv(path)
-        .select(F.trim("kpi_name").alias("kpi_name"), F.trim("value_raw").alias("value_raw"),
-                F.monotonically_increasing_id().alias("ord"))
+        .select(F.trim("kpi_name").alias("kpi_name"), F.trim("value_raw").alias("value_raw"), place.alias("ord"))
     )
 
 

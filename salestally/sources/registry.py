@@ -148,8 +148,12 @@ def probe(registry: Registry, model: SalesModel, p: Params, names: list[str] | N
 
 
 def profile(registry: Registry, model: SalesModel, p: Params, names: list[str] | None = None,
-            limit: int | None = None) -> DataFrame:
-    """The probe as one lazy query: row counts only, no stored results."""
+            limit: int | None = None, run: bool = False) -> DataFrame:
+    """Row counts only, no stored results: one lazy query, in which a query that cannot be planned
+    is a row. One that fails while it runs ends the whole query; with ``run`` each is counted in a
+    job of its own, a few at a time, and such a failure is a row too."""
+    if run:
+        return _counted(registry, model, p, names, limit)
     out = None
     for ord_, name in enumerate((names or fv.CATALOGUE)[:limit]):
         try:
@@ -174,6 +178,25 @@ def profile(registry: Registry, model: SalesModel, p: Params, names: list[str] |
     return out
 
 
+def _counted(registry: Registry, model: SalesModel, p: Params, names: list[str] | None, limit: int | None,
+             workers: int = 4) -> DataFrame:
+    def count(ord_: int, name: str) -> tuple:
+        try:
+            result = registry.call(name, model, p, ordered=False)
+            # every column of every row, so that what fails in one of them fails here
+            n = result.select(F.xxhash64(*[F.col(f"`{c}`") for c in result.columns]).alias("h")).agg(
+                F.count(F.lit(1)).alias("n"), F.bit_xor("h")).first().n
+            return ord_, name, True, n, " ".join(result.columns), output_shape_of(result.columns), None
+        except Exception as error:  # one bad query must not end the run
+            return ord_, name, False, None, None, None, str(error).splitlines()[0]
+
+    wanted = list(enumerate((names or fv.CATALOGUE)[:limit]))
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        rows = list(pool.map(inheritable_thread_target(model.spark)(lambda w: count(*w)), wanted))
+    return model.spark.createDataFrame(
+        rows, "ord int, sp_name string, works boolean, row_count bigint, columns string, output_pattern string, error string")
+
+
 # --- KPI values with their failures ----------------------------------------------
 
 
