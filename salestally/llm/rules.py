@@ -111,10 +111,12 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", carry: list
     empty table. Columns of ``docs`` are kept inside ``row``, so none can clash.
     """
     names = docs.columns if carry is None else carry
+    if clean and text not in names:
+        raise ValueError(f"a clean text needs {text} among the columns wanted")
     rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), text_or_empty(docs, text).alias("in_text"),
                        docs[host].cast("string").alias("in_host"))
     rows = profile(rows, F.col("in_text"), F.col("in_host"))
-    rows = rows.drop("in_host") if clean else rows.drop("in_text", "in_host")
+    rows = rows.drop("in_text", "in_host")
     rows = cut(rows.withColumn("q_id", F.monotonically_increasing_id()), "rules-profiles")
     lines = cut(boilerplate(rows), "rules-lines")
     total = F.aggregate("q_lines", F.lit(0).cast("long"), lambda a, x: a + x["n"])
@@ -124,12 +126,14 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", carry: list
                                  F.count(F.lit(1)).alias("n"), F.collect_set("line.h").alias("hashes")))
     gone = cut(gone.select(F.col("q_id").alias("g_id"), (F.col("total") - F.col("removed") < LEAST_LEFT * F.col("total"))
                            .alias("depleted"), F.col("n").alias("n_removed_lines"), "hashes"), "rules-removed")
-    out = rows.join(gone if clean else gone.drop("hashes"), rows["q_id"] == gone["g_id"], "left")
-    left = [F.when(F.col("hashes").isNull(), F.col("in_text")).otherwise(without_lines(F.col("in_text"), F.col("hashes"))).alias("left")]
+    # texts are dealt by document at every size, so that what this moves grows with them evenly
+    out = rows.join(gone.hint("merge") if clean else gone.drop("hashes"), rows["q_id"] == gone["g_id"], "left")
+    body = F.coalesce(F.col("row").getField(text).cast("string"), F.lit("")) if clean else None
+    left = [F.when(F.col("hashes").isNull(), body).otherwise(without_lines(body, F.col("hashes"))).alias("left")] if clean else []
     return out.select(
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~F.coalesce(F.col("depleted"), F.lit(False))).alias("kept"),
-        F.coalesce(F.col("n_removed_lines"), F.lit(0)).cast("long").alias("n_removed_lines"), *(left if clean else []))
+        F.coalesce(F.col("n_removed_lines"), F.lit(0)).cast("long").alias("n_removed_lines"), *left)
 
 
 OP5_SQL = r"""
