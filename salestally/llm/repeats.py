@@ -47,17 +47,36 @@ def sample_hashes(raw: np.ndarray) -> np.ndarray:
     return mix64(_doubled(start, SAMPLE, lambda a, b, step: a * powers[step] + b))
 
 
-def surroundings(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of strings with one sample position: hash at the sample, first and last start, sample position."""
+CHUNK = 1 << 16  # bytes of texts that are gone through together
+
+
+def surroundings(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Runs of strings with one sample position: text, hash at the sample, first and last start, sample position.
+
+    Texts are gone through together, one behind the other; a string's sample lies inside it, so
+    what is found for the strings inside a text is not touched by its neighbours.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    raw = np.frombuffer(b"".join(texts), np.uint8)
     n = len(raw) - LENGTH + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
+    last = starts + sizes - LENGTH  # of each text the last start of a string; before its start if there is none
+    if n <= 0 or (last < starts).all():
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     hashes = sample_hashes(raw)
     least = _doubled(hashes, REACH, lambda a, b, _: np.minimum(a, b))
-    padded = np.r_[np.zeros(REACH - 1, np.uint64), least, np.zeros(REACH - 1, np.uint64)]
+    edge = np.zeros(n + 1, np.int64)
+    some = last >= starts
+    edge[starts[some]] += 1
+    edge[last[some] + 1] -= 1
+    inside = np.cumsum(edge[:-1]) > 0
+    padded = np.r_[np.zeros(REACH - 1, np.uint64), np.where(inside, least, np.uint64(0)), np.zeros(REACH - 1, np.uint64)]
     chosen = np.flatnonzero(_doubled(padded, REACH, lambda a, b, _: np.maximum(a, b)) == hashes)
-    breaks = np.unique(np.r_[0, np.flatnonzero(least[1:] != least[:-1]) + 1, chosen + 1])
-    breaks = breaks[breaks < n]
+    breaks = np.zeros(n + 1, bool)
+    breaks[starts[some]] = True
+    breaks[1:-1] |= least[1:] != least[:-1]
+    breaks[np.minimum(chosen + 1, n)] = True
+    breaks = np.flatnonzero(breaks[:-1] & inside)
     # the first chosen position from the break on that has the least hash
     values, group = np.unique(hashes[chosen], return_inverse=True)
     width = np.int64(len(raw) + 1)
@@ -65,13 +84,34 @@ def surroundings(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     at = keys[np.searchsorted(keys, np.searchsorted(values, least[breaks]) * width + breaks)] % width
     first = np.r_[True, at[1:] != at[:-1]]
     begin, at = breaks[first], at[first]
-    return hashes[at], begin, np.r_[begin[1:], n] - 1, at
-
-
-def contexts(raw: bytes, begin: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+    text = np.searchsorted(starts, begin, "right") - 1
+    end = np.minimum(np.r_[begin[1:], n] - 1, last[text])
+    base = starts[text]
+    return text, hashes[at], begin - base, end - base, at - base
+
+
+def surroundings_of(column) -> tuple[list[bytes], tuple[np.ndarray, ...]]:
+    """The texts of a column, and ``surroundings`` of all, some texts at a time."""
+    texts = [value.as_py() for value in column]
+    found, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        if len(text) >= LENGTH:
+            held.append((i, text))
+            size += len(text)
+        if held and (size >= CHUNK or i == len(texts) - 1):
+            text_of, *rest = surroundings([t for _, t in held])
+            found.append((np.array([j for j, _ in held], np.int64)[text_of], *rest))
+            held, size = [], 0
+    if not found:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
+    return texts, tuple(map(np.concatenate, zip(*found)))
+
+
+def contexts(texts: list[bytes], text: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Hash of the bytes of each run and of the place of the sample in it."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(raw[b:e + LENGTH], a - b) for b, e, a in zip(
-        begin.tolist(), end.tolist(), at.tolist())), np.uint64, len(begin)).view(np.int64)
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(texts[t][b:e], a) for t, b, e, a in zip(
+        text.tolist(), begin.tolist(), (end + LENGTH).tolist(), (at - begin).tolist())), np.uint64, len(begin)).view(np.int64)
 
 
 def repeated(pieces: list[bytes], place: np.ndarray, bucket: np.ndarray) -> list[np.ndarray]:
@@ -103,12 +143,12 @@ def repeated(pieces: list[bytes], place: np.ndarray, bucket: np.ndarray) -> list
     return [offset_[hit] for offset_, hit in zip(np.split(offset, bounds), np.split(found, bounds))]
 
 
-def covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Bytes covered by runs of strings that begin at ``starts`` to ``ends``, both included."""
-    change = np.zeros(size + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, ends + LENGTH, -1)
-    return np.cumsum(change[:-1]) > 0
+def covered(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Maximal runs of bytes covered by strings that begin at ``starts`` to ``ends``, both included: start and end of each."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order]) + LENGTH
+    first = np.r_[True, starts[1:] > ends[:-1]]
+    return np.column_stack([starts[first], np.r_[ends[:-1][first[1:]], ends[-1:]]])
 
 
 def _each(rows: DataFrame, make, schema) -> DataFrame:
@@ -131,8 +171,8 @@ def _arrow(rows: DataFrame, schema: str) -> pa.Schema:
 def _counts(rows: DataFrame) -> DataFrame:
     """``bucket`` and the number of runs that have it in each batch."""
     def make(batch):
-        buckets = [surroundings(np.frombuffer(value.as_py(), np.uint8))[0].view(np.int64) for value in batch.column("body")]
-        values, n = np.unique(np.concatenate(buckets), return_counts=True) if buckets else (np.zeros(0, np.int64),) * 2
+        _, (_, buckets, *_) = surroundings_of(batch.column("body"))
+        values, n = np.unique(buckets.view(np.int64), return_counts=True)
         return [pa.array(values), pa.array(n)]
 
     return _each(rows, make, "bucket long, n long")
@@ -141,21 +181,11 @@ def _counts(rows: DataFrame) -> DataFrame:
 def _runs(rows: DataFrame) -> DataFrame:
     """A row for each run of each text, with the text's ``key`` and ``hash``."""
     def make(batch):
-        out: list[list] = [[], [], [], [], []]
-        keys = batch.column("key").to_pylist()
-        hashes = batch.column("hash").to_pylist()
-        for i, value in enumerate(batch.column("body")):
-            raw = value.as_py()
-            bucket, begin, end, at = surroundings(np.frombuffer(raw, np.uint8))
-            out[0].append(np.full(len(at), i))
-            out[1].append(bucket.view(np.int64))
-            out[2].append(contexts(raw, begin, end, at))
-            out[3].append(begin.astype(np.int32))
-            out[4].append(np.column_stack([end - begin, at - begin]).astype(np.int32))
-        who = np.concatenate(out[0])
-        more = np.concatenate(out[4]) if len(who) else np.zeros((0, 2), np.int32)
-        return [pa.array(keys, pa.int64()).take(pa.array(who)), pa.array(hashes, pa.int64()).take(pa.array(who)),
-                *(pa.array(np.concatenate(c)) for c in out[1:4]), pa.array(more[:, 0]), pa.array(more[:, 1])]
+        texts, (text, buckets, begin, end, at) = surroundings_of(batch.column("body"))
+        who = pa.array(text)
+        return [batch.column("key").take(who), batch.column("hash").take(who), pa.array(buckets.view(np.int64)),
+                pa.array(contexts(texts, text, begin, end, at)), pa.array(begin.astype(np.int32)),
+                pa.array((end - begin).astype(np.int32)), pa.array((at - begin).astype(np.int32))]
 
     return _each(rows, make, "key long, hash long, bucket long, context long, begins int, runs int, into int")
 
@@ -269,11 +299,10 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
                     at = (h["begins"] + h["into"] - np.array(h["offsets"])).tolist()
                     starts += at
                     ends += at
-            gone = covered(len(raw), np.array(starts, np.int64), np.array(ends, np.int64))
-            edges = np.flatnonzero(np.diff(np.r_[False, gone, False]))
+            runs = covered(np.array(starts, np.int64), np.array(ends, np.int64)).tolist()
             sizes.append(len(raw))
-            spans.append([{"starts": a, "ends": b} for a, b in edges.reshape(-1, 2).tolist()])
-            kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
+            spans.append([{"starts": a, "ends": b} for a, b in runs])
+            kept.append(b"".join(raw[a:b] for (_, a), (b, _) in zip([(0, 0), *runs], [*runs, (len(raw), 0)])))
         return [batch.column("key"), pa.array(sizes, pa.int64()),
                 pa.array(spans, pa.list_(pa.struct([("starts", pa.int32()), ("ends", pa.int32())]))), pa.array(kept, pa.binary())]
 
