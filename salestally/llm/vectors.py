@@ -24,6 +24,7 @@ from salestally.session import cut
 
 COSINE = 0.95
 SHARD = 2048  # vectors of a block; a shard with more has several, and queries visit all of them
+TILE = 16_384  # queries that a block meets in one task
 CENTRES = 4096  # at most
 SAMPLE = 40_960  # vectors on which the centres are fitted at most
 SHARDS_KEPT, SHARDS_ASKED = 2, 4  # per vector
@@ -153,17 +154,23 @@ class Index:
         ship(distinct.sparkSession)
         self.rows = distinct
         n = distinct.count()
-        sample = distinct.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow()
+        bound = 1 << 30  # about SAMPLE vectors by hash, so that no task gathers those of all others
+        taken = distinct.where(F.pmod(F.xxhash64("id"), F.lit(bound)) < F.lit(int(bound * min(1.0, SAMPLE / max(n, 1)))))
+        sample = taken.select("vector").limit(2 * SAMPLE).toArrow()
+        if n and not sample.num_rows:
+            sample = distinct.select("vector").limit(1).toArrow()
         self.dim = len(sample["vector"][0]) if n else 0
         k = min(CENTRES, max(1, round(2 * n / SHARD)))
         self.centres = centres_of(unit(as_matrix(sample["vector"])), k) if n else np.zeros((0, 0))
         self.dealt = cut(self._deal(), "vector-shards")
-        sizes = self.dealt.where("rank < %d" % SHARDS_KEPT).groupBy("shard").agg(F.count("id").alias("n")).toArrow()
-        blocks = np.ones(max(len(self.centres), 1), int)
-        for shard, size in zip(sizes["shard"].to_pylist(), sizes["n"].to_pylist()):
-            blocks[shard] = -(-size // SHARD)
-        own = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("shard") + 1)
-        self.placed = self.dealt.withColumn("blocks", own).withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        kept = F.count_if(F.col("rank") < SHARDS_KEPT).alias("n")
+        sizes = self.dealt.groupBy("shard").agg(kept, F.count("id").alias("asked")).toArrow()  # a row per shard
+        blocks, tiles = (np.ones(max(len(self.centres), 1), int) for _ in range(2))
+        for shard, size, asked in zip(*(sizes[c].to_pylist() for c in ("shard", "n", "asked"))):
+            blocks[shard], tiles[shard] = max(1, -(-size // SHARD)), -(-asked // TILE)
+        own = lambda numbers: F.element_at(F.array(*[F.lit(int(b)) for b in numbers]), F.col("shard") + 1)
+        self.placed = (self.dealt.withColumn("blocks", own(blocks)).withColumn("tiles", own(tiles))
+                       .withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
         self.graph = cut(self._build(), "vector-graph")
 
     def _deal(self) -> DataFrame:
@@ -200,10 +207,12 @@ class Index:
         counted) and ``tied``, vectors linked with it that keep the block's links connected."""
         graph = self.graph.withColumnRenamed("id", "g_id")
         data = self.placed.where(F.col("rank") < SHARDS_KEPT).join(graph, F.col("id") == F.col("g_id")).drop("g_id")
-        data = data.withColumn("block", F.col("home"))
-        asked = self.placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
-            "near", F.lit(None).cast("array<long>"))
-        columns = ["shard", "block", "rank", "id", "weight", "vector", "near"]
+        # a block meets the queries of its shard tile by tile, so that neither side of a group grows with the shard
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        data = data.withColumn("block", F.col("home")).withColumn("tile", each("tiles"))
+        asked = self.placed.withColumn("tile", F.pmod(F.xxhash64("id", F.lit(1)), F.col("tiles")).cast("int")).withColumn(
+            "block", each("blocks")).withColumn("near", F.lit(None).cast("array<long>"))
+        columns = ["shard", "block", "tile", "rank", "id", "weight", "vector", "near"]
 
         def run(rows: pa.Table) -> pa.Table:
             rows = rows.sort_by([("id", "ascending"), ("rank", "ascending")])
@@ -236,7 +245,7 @@ class Index:
                              "tied": pa.array(out["tied"], pa.list_(pa.int64()))})
 
         every = data.select(*columns).union(asked.select(*columns))
-        return every.groupBy("shard", "block").applyInArrow(run, "id long, n long, tied array<long>")
+        return every.groupBy("shard", "block", "tile").applyInArrow(run, "id long, n long, tied array<long>")
 
 
 def few_links(distinct: DataFrame) -> DataFrame:

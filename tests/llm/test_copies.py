@@ -159,9 +159,10 @@ def plain_links(rows):
     return Counter((k, sum(link[i]), min((x for x in groups[up[i]] if x is not None), default=None)) for i, (k, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("shard", [vectors.SHARD, 40])
-def test_vectors(spark, monkeypatch, shard):
+@pytest.mark.parametrize("shard, tile", [(vectors.SHARD, vectors.TILE), (40, 25)])
+def test_vectors(spark, monkeypatch, shard, tile):
     monkeypatch.setattr(vectors, "SHARD", shard)
+    monkeypatch.setattr(vectors, "TILE", tile)
     rng = np.random.default_rng(1)
     rows = []
     for group in range(12):
