@@ -2,6 +2,13 @@
 
 Every stage takes what the one before kept, as the columns of ``documents``; what
 a stage decides takes effect. The last one gives token ids.
+
+All stages: an empty table gives an empty table; other columns pass untouched, whatever their
+names, up to the last stage, which gives its own; very long texts are one row throughout. Null and
+empty texts fail the quality rules; given to a later stage they stay as they are, have no words, near
+copies or personal data, are not taken by the mix and have no ids. Repeated rows are judged each;
+the near-duplicate stage keeps one of a group, the least by its key and then by a hash of its text; the mix
+takes equal rows together.
 """
 
 from __future__ import annotations
