@@ -220,7 +220,10 @@ def test_pipeline(spark, odd, tmp_path):
         assert r.round_trip and vocabulary.decode(bytes(r.ids)) == pieces[r.doc_id]
 
 
-def test_stages_on_odd_tables(spark, odd, none):
-    for _, stage in corpus_pipeline.STAGES:
+def test_stages_on_odd_tables(spark, odd, none, clashing):
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, "").collect() == []
         stage(spark, odd, "").collect()
+        out = stage(spark, clashing, "")
+        out.collect()
+        assert name == "bpe" or out.columns == clashing.columns
