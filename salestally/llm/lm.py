@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +57,10 @@ class Block:
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
         known: dict[bytes, int] = {}
         ids = np.fromiter((known.setdefault(w, len(known)) for words in split for w in words), np.int64, self.sizes.sum())
-        self.word = mix64(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known)))[ids] | np.uint64(1)
+        hashes = mix64(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known))) | np.uint64(1)
+        self.distinct, place = np.unique(hashes, return_inverse=True)
+        self.index = place[ids]
+        self.word = hashes[ids]
         self.into = np.arange(len(ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         self.last = self.word  # hashes of the longest n-grams so far
         self.grams, self.counts, self.place, self.others = [], [], [], []
@@ -68,15 +72,16 @@ class Block:
             longer = np.zeros_like(self.last)
             longer[1:] = mix64(self.last[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.word[1:] + np.uint64(k)) | np.uint64(1)
             self.last = longer
-        ends = self.into >= k
-        if k >= AT_ONCE:
-            seen = self.others[k - 1] > 0
-            ends[1:] &= seen[1:] & seen[:-1]
-        grams, inverse, counts = np.unique(self.last[ends], return_inverse=True, return_counts=True)
-        if not k:
-            grams, counts, inverse = np.r_[TOTAL, grams], np.r_[len(self.word), counts], inverse + 1
-        place = np.full(len(self.word), -1)
-        place[ends] = inverse
+            ends = self.into >= k
+            if k >= AT_ONCE:
+                seen = self.others[k - 1] > 0
+                ends[1:] &= seen[1:] & seen[:-1]
+            grams, inverse, counts = np.unique(self.last[ends], return_inverse=True, return_counts=True)
+            place = np.full(len(self.word), -1)
+            place[ends] = inverse
+        else:
+            grams, place = np.r_[TOTAL, self.distinct], self.index + 1
+            counts = np.r_[len(self.word), np.bincount(self.index, minlength=len(self.distinct))]
         self.grams.append(grams)
         self.counts.append(counts)
         self.place.append(place)
@@ -185,7 +190,8 @@ def score(docs: DataFrame, text: str = "text", order: int = ORDER, block: int =
         return pa.table({"row": rows.column("row"), "lm_words": here.sizes, "lm_log_score": scores, "lm_alone": alone})
 
     def answered(asked: DataFrame) -> DataFrame:
-        return asked.groupBy("length", "part").applyInArrow(answer, "block long, length int, part long, totals binary")
+        out = asked.groupBy("length", "part").applyInArrow(answer, "block long, length int, part long, totals binary")
+        return out.repartition("block")  # dealt out once, for the next length and for the sums
 
     out_schema = dealt.select("row", F.lit(0).cast("long").alias("lm_words"), F.lit(0.0).alias("lm_log_score"),
                               F.lit(0).cast("long").alias("lm_alone")).schema
@@ -206,12 +212,13 @@ ASKED = pa.schema([("block", pa.int64()), ("length", pa.int32()), ("part", pa.in
 
 
 def planes(numbers: np.ndarray) -> bytes:
-    """Numbers of 64 bits, byte by byte: all first bytes, then all second ones. Compresses well."""
-    return np.ascontiguousarray(numbers.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers of 64 bits, byte by byte: all first bytes, then all second ones, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def unplanes(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
 
 
 OP10_SQL = r"""
