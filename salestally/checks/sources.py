@@ -22,16 +22,19 @@ FILES = ["Sales Summary_Top Stores by Sal", "Sales Summary_Store Sales with",
          "Sales Summary_Top Performing Em"]
 
 
-def write_sheets(spark, folder, names=FILES, p=P):
-    """Write sheets as CSV, one folder of part files each, and return their place."""
-    place = scratch(spark, "exports")
-    pinned = bind_folder(spark, folder).pinned(P)
+def put_sheets(pinned, place, names=FILES):
+    """Write sheets of a model's written facts as CSV, one folder of part files each, into a place."""
     for name in names:
         rows = sheet_rows(pinned, name).drop("sheet", "row_ord")
         rows.write.option("header", True).csv(os.path.join(place, f"{name}.csv"))
     return place
 
 
+def write_sheets(spark, folder, names=FILES, p=P):
+    """Write sheets of a folder's tables and return their place."""
+    return put_sheets(bind_folder(spark, folder).pinned(P), scratch(spark, "exports"), names)
+
+
 _CELLS = cx.sheet_cells_sql({s: SHEETS[s][0] for s in FILES})
 
 
@@ -251,14 +254,16 @@ def _(spark, folder):
     f"SELECT sheet, metric, 'Match' AS status, count(*) AS n FROM ({_CELLS}) GROUP BY 1, 2 "
     f"UNION ALL SELECT 'Sales Summary_Odd', 'Actual Sales', 'Mismatch', count(*) FROM region"))
 def _(spark, folder):
-    """Sheets of five layouts, and one of headers that are not known, that arrive in two drops."""
-    place = write_sheets(spark, folder)
+    """Sheets of five layouts, and one of headers that are not known, that arrive in two drops.
+
+    All sheets are made of facts that are joined and written once.
+    """
+    pinned = bind_folder(spark, folder).pinned(P)
+    place = put_sheets(pinned, scratch(spark, "exports"))
     db = cut(sheets.last_cells(sheets.cells_of_rows(sheets.read_rows(spark, place))).withColumnRenamed("value_raw", "value"), "db-cells")
     drop, out, log = (scratch(spark, n) for n in ("drop", "arrived", "arrivals"))
     for half in (FILES[:2], FILES[2:]):
-        for name in half:
-            sheet_rows(bind_folder(spark, folder).pinned(P), name).drop("sheet", "row_ord").write.option("header", True).csv(
-                os.path.join(drop, f"{name}.csv"))
+        put_sheets(pinned, drop, half)
         arrivals.reconcile_arrivals(arrivals.stream_sheets(spark, drop), db, out, log).awaitTermination()
     read_table(spark, folder, "region").select(F.col("r_name").alias("Area"), F.lit("?").alias("Remark")).coalesce(1).write.option(
         "header", True).csv(os.path.join(drop, "Sales Summary_Odd.csv"))

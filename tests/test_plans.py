@@ -1,10 +1,14 @@
 """What the plans look like, and how they stand up to a hot key."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from salestally import Params, bind
+from salestally.checks import CHECKS
 from salestally.operators import kpis, reconcile, widgets
+from salestally.session import work_dir
 from salestally.sources.exports import sample_rows
 
 P = Params(year=1997)
@@ -160,3 +164,11 @@ def test_hot_product_is_summed_before_it_moves(spark):
     assert widgets.top_employees(cubed, p).collect() == widgets.top_employees(m, p).collect()
     text = plan(m.sums(p, "store_key"))
     assert "partial_sum" in text
+
+
+def test_sheets_of_all_drops_share_written_facts(spark, folder):
+    """Lines are joined with orders once, whatever the number of sheets that arrive."""
+    written = lambda: {n for n in os.listdir(work_dir(spark)) if n.startswith("facts-")}
+    before = written()
+    assert CHECKS["arrivals_all_layouts"](spark, folder).count() == 9
+    assert len(written() - before) == 1
